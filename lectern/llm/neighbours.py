@@ -134,7 +134,7 @@ def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree
 
     project = None if walk_dims is None or walk_dims >= dim else np.random.default_rng(seed).standard_normal((dim, walk_dims)).astype(np.float32)
 
-    def search_shard(key, table: pa.Table) -> pa.Table:
+    def search_shard(key, table):
         if table.num_rows == 0:
             return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
         ids = np.asarray(table.column("id").to_pylist(), dtype=object)
