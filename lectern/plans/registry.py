@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("catalog", "aggregates", "ranking", "textops", "retrieval")
 
 
 def _modules():
@@ -20,6 +20,6 @@ def oracle_sql():
 
 
 def FLAGSHIP(spark, folder):
-    from lectern.session import table
+    from lectern.plans import retrieval
 
-    return table(spark, folder, "documents").groupBy("source").count()
+    return retrieval.search_fused(spark, folder)
