@@ -88,7 +88,7 @@ def most_similar(
         out = out.unionByName(p)
     # an id asked of several shards: its best answers of all
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return out.dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.repartition("id").dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree, width, expand, walk_dims, seed) -> DataFrame:
