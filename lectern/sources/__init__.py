@@ -1 +1 @@
-
+"""Readers and writers beside plain Parquet."""
