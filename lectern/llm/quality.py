@@ -27,9 +27,12 @@ COMMON_WORDS = (
     "se", "sin", "sobre", "son", "su", "sus", "una", "y",
 )
 
+#: Fixed value: Unicode white space, spelled out so that ASCII is tested first.
+WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 #: The statistics that rules may test, in the order in which they are tried.
 STATISTICS = (
-    "common_share", "punct_line_share", "words_per_line", "list_mark_share", "separator_rate", "digit_ratio", "symbol_ratio", "mean_word_length", "longest_word",
+    "common_share", "punct_line_share", "words_per_line", "list_mark_share", "separator_rate", "digit_ratio", "symbol_ratio", "mean_word_length", "long_word_share",
     "distinct_share", "distinct_line_share", "other_script_share", "single_share", "sentence_rate", "consonant_run_rate", "mixed_share", "comma_rate",
 )
 
@@ -49,26 +52,29 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     low = F.lower(t)
     work = df.withColumns({
-        "__words": F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""),
+        "__flat": F.trim(F.regexp_replace(t, WHITE, " ")),
+        "__words": F.filter(F.split(t, WHITE), lambda w: w != ""),
         "__lines": F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: F.trim(F.translate(x, "\t\f ", "   "))), lambda x: x != ""),
     })
     words, lines = F.col("__words"), F.col("__lines")
-    count, n_lines = F.size(words), F.size(lines)
-    dense = F.length(F.array_join(words, ""))
-    kept = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    digits = dense - F.length(F.translate(F.array_join(words, ""), "0123456789", ""))
+    # sizes come from the flat text; the arrays are made only if a rule asks for them
+    flat, n_lines = F.col("__flat"), F.size(lines)
+    dense = F.length(F.translate(flat, " ", ""))
+    count = F.when(flat == "", 0).otherwise(F.length(flat) - dense + 1)
+    kept = lambda pattern: F.length(F.regexp_replace(flat, pattern, ""))
+    digits = F.length(flat) - F.length(F.translate(flat, "0123456789", ""))
     separators = F.length(t) - F.length(F.translate(t, "\t|;", ""))
     values = {
         "word_count": count.cast("long"),
         "mean_word_length": _rate(dense, count),
-        "symbol_ratio": _rate(kept(r"(?U)[\p{L}\p{N}\s]+"), dense),
+        "symbol_ratio": _rate(kept(r"[a-zA-Z0-9 \p{L}\p{N}]+"), dense),
         "punct_line_share": _rate(F.size(F.filter(lines, lambda x: F.substring(x, -1, 1).isin(*".!?…:\"”»)"))), n_lines),
-        "common_share": _rate(F.regexp_count(low, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(set(COMMON_WORDS))) + r")(?![\p{L}\p{N}])")), count),
+        "common_share": _rate(F.size(F.filter(F.split(low, r"[^a-z\p{L}\p{N}]+"), lambda w: w.isin(*sorted(set(COMMON_WORDS))))), count),
         "words_per_line": _rate(count, n_lines),
         "list_mark_share": _rate(F.size(F.filter(lines, lambda x: x.rlike(r"^(?:[-*•·–—+]|[\[(]?\d{1,3}[.)\]]|[a-z][.)])\s"))), n_lines),
         "separator_rate": _rate(separators, n_lines),
         "digit_ratio": _rate(digits, dense),
-        "longest_word": F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0)).cast("double"),
+        "long_word_share": _rate(F.regexp_count(flat, F.lit("[^ ]{25,}+")), count),
         "distinct_share": _rate(F.size(F.array_distinct(words)), count),
         "distinct_line_share": _rate(F.size(F.array_distinct(lines)), n_lines),
         "other_script_share": _rate(kept(r"[\x00-\x7f]+"), dense),
@@ -78,7 +84,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "mixed_share": _rate(F.regexp_count(t, F.lit(r"[A-Za-z]\d|\d[A-Za-z]")), count),
         "comma_rate": _rate(F.length(t) - F.length(F.translate(t, ",", "")), n_lines),
     }
-    return work.withColumns(values).drop("__words", "__lines")
+    return work.withColumns(values).drop("__flat", "__words", "__lines")
 
 
 # --- rule induction ---------------------------------------------------------

@@ -1,5 +1,19 @@
-"""SQL for the pN_ queries that SQL can express."""
+"""SQL for the pN_ queries that SQL can express on whole tables.
 
-SPACE = r"' \t\r\n' || chr(12)"
+The others have none: folding to NFKD, byte-pair merges, graphs and learned
+models are not SQL; their tests compare them with brute force.
+"""
 
-ORACLES: dict[str, str] = {}
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
+_LONGEST = "list_max(list_transform({units}, lambda x: length(trim(x, " + _WS + "))))"
+_PARAGRAPHS = r"regexp_split_to_array(text, '\n[ \t\r\f]*\n')"
+_SENTENCES = r"string_split(regexp_replace(regexp_replace(text, '\n[ \t\r\f]*\n', chr(1), 'g'), '([.!?])[ \t\r\n\f]+', '\1' || chr(1), 'g'), chr(1))"
+_WORDS = r"regexp_split_to_array(text, '[ \t\r\n\f]+')"
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""SELECT DISTINCT paper_id, page_number, CASE WHEN {_LONGEST.format(units=_PARAGRAPHS)} <= 2000 THEN 'paragraph' WHEN {_LONGEST.format(units=_SENTENCES)} <= 2000 THEN 'sentence'
+        WHEN {_LONGEST.format(units=_WORDS)} <= 2000 THEN 'word' ELSE 'none' END AS boundary FROM ocr WHERE length(trim(text, {_WS})) > 2000 AND paper_id IS NOT NULL AND page_number IS NOT NULL""",
+    "p8_counts": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) flat, coalesce(text, '') t FROM documents)
+        SELECT doc_id, CASE WHEN flat = '' THEN 0 ELSE length(flat) - length(replace(flat, ' ', '')) + 1 END AS word_count,
+        CAST(len(list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12)) <> '')) AS BIGINT) AS line_count FROM d""",
+}
