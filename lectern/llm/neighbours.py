@@ -47,14 +47,30 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), dim)
 
 
-def _half(rows: np.ndarray) -> np.ndarray:
-    """Unit rows as half-precision bytes: enough for ranks to 1e-3 of a cosine."""
-    return np.ascontiguousarray(rows.astype(np.float16))
+def _pack(rows: np.ndarray) -> list[bytes]:
+    """Each row in half precision, scaled by a power of two, as two compressed
+    planes of bytes.  That is enough for ranks to 1e-3 of a cosine and halves
+    what a shuffle of plain floats would write."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+    most = np.abs(rows).max(axis=1, keepdims=True)
+    scaled = rows * np.exp2(-np.ceil(np.log2(np.where(most > 0, most, 1))))
+    planes = np.ascontiguousarray(scaled.astype(np.float16).view(np.uint8).reshape(len(rows), -1, 2).transpose(0, 2, 1))
+    return [squeeze(p.tobytes()) for p in planes]
+
+
+def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
+    import zstandard
+
+    loosen = zstandard.ZstdDecompressor().decompress
+    planes = np.frombuffer(b"".join(map(loosen, packed)), dtype=np.uint8).reshape(len(packed), 2, dim)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float16).reshape(len(packed), dim)
 
 
 def most_similar(
     vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 2048, probes: int = 2, sample: int = 8192,
-    degree: int = 8, width: int = 16, expand: int = 4, walk_dims: int | None = 64, seed: int = 5,
+    degree: int = 8, width: int = 12, expand: int = 4, walk_dims: int | None = 64, seed: int = 5,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other ids of each.
 
@@ -63,8 +79,8 @@ def most_similar(
     count once.  Ties of cosine go to the smaller id.  ``min_cosine`` drops
     answers below it.  The answers are approximate: ``probes`` shards are asked,
     with a beam of ``width`` over graphs of ``degree``; the graph is walked in
-    ``walk_dims`` random projections (all dimensions if null) and the beam is
-    ranked by full vectors.  ``sample`` vectors fit the centroids, every vector
+    ``walk_dims`` random projections (all dimensions if null); the neighbours of
+    what it finds are then ranked by full vectors.  ``sample`` vectors fit the centroids, every vector
     is indexed.  A shard larger than twice ``shard_rows`` is divided by hash and
     asked in all its parts, so that no task holds an unbounded shard.
     """
@@ -115,7 +131,8 @@ def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree
 
         c = shared.value
         for batch in batches:
-            x = hnsw.unit(_matrix(batch.column("vector"), dim))
+            raw = _matrix(batch.column("vector"), dim)
+            x = hnsw.unit(raw)
             ids = batch.column("id").to_pylist()
             near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
             shard, row, own = [], [], []
@@ -128,8 +145,7 @@ def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree
                         row.append(i)
                         own.append(j == 0 and p == mine)
             take = pa.array(row, pa.int32())
-            half = _half(x)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(half), [None, pa.py_buffer(half)]).cast(pa.binary()).take(take)
+            data = pa.array(_pack(raw), pa.binary()).take(take)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.bool_()), batch.column("id").take(take), data], ["shard", "own", "id", "data"])
 
     project = None if walk_dims is None or walk_dims >= dim else np.random.default_rng(seed).standard_normal((dim, walk_dims)).astype(np.float32)
@@ -139,14 +155,40 @@ def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree
             return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
         ids = np.asarray(table.column("id").to_pylist(), dtype=object)
         own = np.asarray(table.column("own"))
-        data = table.column("data").combine_chunks()
-        x = np.frombuffer(b"".join(data.to_pylist()), dtype=np.float16).reshape(len(ids), dim)
+        x = _unpack(table.column("data").to_pylist(), dim)
         return _answer(ids, own, x, k, min_cosine, degree, width, expand, project)
 
     routed = rows.mapInArrow(route, "shard int, own boolean, id string, data binary")
     return routed.groupBy("shard").applyInArrow(search_shard, "id string, neighbour string, cosine double")
 
 
+def _widen(graph, full, queries, found, cos, least, width):
+    """Look at the neighbours of what a walk found, by full vectors, for queries
+    with an answer of at least ``least``: the walk itself is in projection."""
+    b, w = found.shape
+    out = np.full((b, max(w, width)), -1, dtype=np.int32)
+    best = np.full(out.shape, -2.0, dtype=np.float32)
+    out[:, :w], best[:, :w] = found, cos
+    links, slot = graph.levels[0][1], graph.slots[0]
+    strong = np.nonzero(cos.max(axis=1, initial=-2.0) >= least)[0] if b else np.zeros(0, int)
+    for lo in range(0, len(strong), 128):
+        at = strong[lo : lo + 128]
+        mine = found[at]
+        near = np.where(mine[:, :, None] >= 0, links[slot[np.maximum(mine, 0)]], -1).reshape(len(at), -1)
+        ids = np.sort(np.concatenate([mine, near], axis=1), axis=1)
+        fresh = ids >= 0
+        fresh[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+        r, c = np.nonzero(fresh)
+        seen = np.full(ids.shape, -2.0, dtype=np.float32)
+        seen[r, c] = np.einsum("ij,ij->i", full[ids[r, c]], queries[at[r]])
+        keep = min(out.shape[1], ids.shape[1])
+        top = np.argpartition(-seen, keep - 1, axis=1)[:, :keep]
+        got = np.take_along_axis(seen, top, 1)
+        out[at, :keep] = np.where(got > -2.0, np.take_along_axis(ids, top, 1), -1)
+        best[at, :keep] = got
+    return out, best
+
+
 def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Table:
     """Index the rows stored in the shard, ask it for all rows of the table."""
     # one node for equal vectors, with its ids in order, repeats of an id once
@@ -181,6 +223,7 @@ def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Ta
                 f = found[lo : lo + 1024]
                 cos = np.einsum("ijk,ik->ij", full[np.maximum(f, 0)], queries[lo : lo + 1024])
                 cos = np.where(f >= 0, cos, -2.0)
+                f, cos = _widen(graph, full, queries[lo : lo + 1024], f, cos, min_cosine - 0.15, 2 * k + 4)
                 best = np.argsort(-cos, axis=1, kind="stable")
                 cos, f = np.take_along_axis(cos, best, 1), np.take_along_axis(f, best, 1)
                 count = (cos >= max(min_cosine, -1.5)).sum(1).tolist()
