@@ -95,7 +95,7 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vect
 
         def pack(table):
             x = np.asarray(table.column(vector).combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), f"{side}_keys": pa.array([table.column(key).to_pylist()]), f"{side}_data": pa.array([x.tobytes()], pa.binary())})
 
         return part.groupBy("dim", "b").applyInArrow(pack, f"dim int, {side}_keys array<{kind}>, {side}_data binary")
