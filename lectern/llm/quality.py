@@ -54,16 +54,16 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     work = df.withColumns({
         "__flat": F.trim(F.regexp_replace(t, WHITE, " ")),
         "__words": F.filter(F.split(t, WHITE), lambda w: w != ""),
-        "__lines": F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: F.trim(F.translate(x, "\t\f ", "   "))), lambda x: x != ""),
+        "__lines": F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(" \t\f\u00a0"))), lambda x: x != ""),
     })
     words, lines = F.col("__words"), F.col("__lines")
     # sizes come from the flat text; the arrays are made only if a rule asks for them
     flat, n_lines = F.col("__flat"), F.size(lines)
-    dense = F.length(F.translate(flat, " ", ""))
+    dense = F.length(F.replace(flat, F.lit(" "), F.lit("")))
     count = F.when(flat == "", 0).otherwise(F.length(flat) - dense + 1)
     kept = lambda pattern: F.length(F.regexp_replace(flat, pattern, ""))
-    digits = F.length(flat) - F.length(F.translate(flat, "0123456789", ""))
-    separators = F.length(t) - F.length(F.translate(t, "\t|;", ""))
+    digits = F.length(flat) - F.length(F.regexp_replace(flat, "[0-9]+", ""))
+    separators = F.length(t) - F.length(F.regexp_replace(t, r"[\t|;]+", ""))
     values = {
         "word_count": count.cast("long"),
         "mean_word_length": _rate(dense, count),
@@ -82,7 +82,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "sentence_rate": _rate(F.regexp_count(t, F.lit(r"[.!?](?=\s|$)")), count),
         "consonant_run_rate": _rate(F.regexp_count(low, F.lit(r"[bcdfghjklmnpqrstvwxz]{5,}")), count),
         "mixed_share": _rate(F.regexp_count(t, F.lit(r"[A-Za-z]\d|\d[A-Za-z]")), count),
-        "comma_rate": _rate(F.length(t) - F.length(F.translate(t, ",", "")), n_lines),
+        "comma_rate": _rate(F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), n_lines),
     }
     return work.withColumns(values).drop("__flat", "__words", "__lines")
 
