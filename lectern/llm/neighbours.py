@@ -70,7 +70,7 @@ def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
 
 def most_similar(
     vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 2048, probes: int = 2, sample: int = 8192,
-    degree: int = 8, width: int = 12, expand: int = 4, walk_dims: int | None = 64, seed: int = 5,
+    degree: int = 6, width: int = 12, expand: int = 4, walk_dims: int | None = 64, seed: int = 5,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other ids of each.
 
