@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import folded_words
 from lectern.operators import relational as R
-from lectern.session import table
+from lectern.session import spread_table, table
 
 PAPERS = "(SELECT DISTINCT paper_id, title, authors, pub_year, publication_date_raw, venue, topics, pdf_url, ocr_status, created_at FROM papers)"
 QA = "(SELECT DISTINCT case_id, split, expected_answerable, category, question, cluster_id, gold_locator, negative_evidence, answer_points FROM qa_selective_response_v2)"
@@ -29,6 +29,11 @@ def documents(spark, d):
     return table(spark, d, "documents")
 
 
+def texts(spark, d):
+    """The documents, dealt out to all cores, for work that reads every text."""
+    return spread_table(spark, d, "documents")
+
+
 def eligible_view(spark, d):
     """Passages of papers whose text is there: an inner equi-join."""
     ready = papers(spark, d).where(F.col("ocr_status").isin("completed", "not_needed")).select("paper_id", "pub_year")

@@ -9,23 +9,23 @@ from lectern.functions import text as X
 from lectern.operators import answers as A
 from lectern.operators import search as S
 from lectern.operators import statistics as T
-from lectern.plans.catalog import QA, cases, documents
+from lectern.plans.catalog import QA, cases, texts
 from lectern.plans.retrieval import _BM, _Q, _RANK, probes
 from lectern.plans.textops import _SENT, _TOK
 from lectern.session import table
 
 
 def answerable(spark, d):
-    return A.answerability(S.bm25(documents(spark, d), probes(spark), 10), probes(spark), documents(spark, d))
+    return A.answerability(S.bm25(texts(spark, d), probes(spark), 10), probes(spark), texts(spark, d))
 
 
 def claim_counts(spark, d):
-    c = A.claims(documents(spark, d).where("lang = 'en'"), "doc_id", "text")
+    c = A.claims(texts(spark, d).where("lang = 'en'"), "doc_id", "text")
     return c.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(F.col("claim").rlike(r"\[[0-9]+\]")).alias("with_marker"))
 
 
 def best_sentences(spark, d):
-    return A.best_sentence(documents(spark, d).where("lang = 'en'"), "doc_id", "text", ["random", "forests", "error", "labels"])
+    return A.best_sentence(texts(spark, d).where("lang = 'en'"), "doc_id", "text", ["random", "forests", "error", "labels"])
 
 
 def answer_points(spark, d):
@@ -36,7 +36,7 @@ def answer_points(spark, d):
 
 def citation_support(spark, d):
     """Overlap of each English sentence with the one after it: supported from 0.08."""
-    s = A.claims(documents(spark, d).where("lang = 'en'"), "doc_id", "text").withColumn("t", F.array_distinct(X.tokens(F.col("claim"))))
+    s = A.claims(texts(spark, d).where("lang = 'en'"), "doc_id", "text").withColumn("t", F.array_distinct(X.tokens(F.col("claim"))))
     nxt = F.lead("t").over(Window.partitionBy("doc_id").orderBy("n"))
     o = s.withColumn("u", nxt).where("u is not null").withColumn("overlap", F.size(F.array_intersect("t", "u")) / F.size("t"))
     return o.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("overlap") >= 0.08).alias("supported"))
@@ -81,8 +81,8 @@ def centroid_sweep(spark, d):
 
 def paired_runs(spark, d):
     """Two retrieval runs compared query by query; both must have every query."""
-    a = S.bm25(documents(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("a"))
-    b = S.coverage(documents(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("b"))
+    a = S.bm25(texts(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("a"))
+    b = S.coverage(texts(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("b"))
     j = a.join(b, "query_id", "full")
     both = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a query is missing in one run")).cast("int")).otherwise(F.size(F.array_intersect("a", "b")))
     return j.select("query_id", both.alias("shared"), F.round(both / F.size(F.array_union("a", "b")), 6).alias("jaccard"))
@@ -95,7 +95,7 @@ def latency_percentiles(spark, d):
 
 def majority_label(spark, d):
     """The most frequent section of every source, first in the alphabet of equals."""
-    n = documents(spark, d).where("section is not null and source is not null").groupBy("source", "section").agg(F.count("*").alias("n"))
+    n = texts(spark, d).where("section is not null and source is not null").groupBy("source", "section").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy(F.desc("n"), "section")
     return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 

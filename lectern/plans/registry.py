@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("catalog", "aggregates", "ranking", "textops", "retrieval", "evaluation", "changes", "pipelines")
+MODULES = ("catalog", "aggregates", "ranking", "textops", "retrieval", "evaluation", "changes", "pipelines", "recommendations")
 
 
 def _modules():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import search as S
-from lectern.plans.catalog import PAPERS, QA, cases, documents, papers
+from lectern.plans.catalog import PAPERS, QA, cases, documents, texts, papers
 from lectern.plans.textops import _TOK
 from lectern.session import table
 
@@ -22,28 +22,28 @@ def probes(spark):
 
 
 def search_bm25(spark, d):
-    return S.bm25(documents(spark, d), probes(spark), 10)
+    return S.bm25(texts(spark, d), probes(spark), 10)
 
 
 def search_coverage(spark, d):
-    return S.coverage(documents(spark, d), probes(spark), 10)
+    return S.coverage(texts(spark, d), probes(spark), 10)
 
 
 def search_fused(spark, d):
     """Both lexical scores; BM25 goes through s / (1 + s) first, so that better
     matches keep the larger score."""
-    a = S.bm25(documents(spark, d), probes(spark), 30).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
-    return S.fuse(a, S.coverage(documents(spark, d), probes(spark), 30), 10)
+    a = S.bm25(texts(spark, d), probes(spark), 30).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
+    return S.fuse(a, S.coverage(texts(spark, d), probes(spark), 30), 10)
 
 
 def search_reference_scores(spark, d):
     """BM25 with the inverted magnitude 1 / (1 + s), in the order of BM25."""
-    return S.bm25(documents(spark, d), probes(spark), 10).select("query_id", "doc_id", "rank", F.round(1 / (1 + F.col("score")), 6).alias("score"))
+    return S.bm25(texts(spark, d), probes(spark), 10).select("query_id", "doc_id", "rank", F.round(1 / (1 + F.col("score")), 6).alias("score"))
 
 
 def search_section_boost(spark, d):
     """The coverage score with a boost for sections that fit the query."""
-    hits = S.coverage(documents(spark, d), probes(spark), 30).join(probes(spark), "query_id").join(documents(spark, d).select("doc_id", F.lower(F.coalesce("section", F.lit(""))).alias("section")), "doc_id")
+    hits = S.coverage(texts(spark, d), probes(spark), 30).join(probes(spark), "query_id").join(documents(spark, d).select("doc_id", F.lower(F.coalesce("section", F.lit(""))).alias("section")), "doc_id")
     q, s = F.lower("query"), F.col("section")
     boost = F.when(s == "", 0.0).when(q.rlike("method|approach|implementation|algorithm") & s.rlike("method|approach|implementation"), 0.08).when(q.rlike("future|extend|extension|limitation|challenge") & s.rlike("future|limitation|discussion|conclusion"), 0.08)
     boost = boost.when(q.rlike("evaluate|result|experiment|metric") & s.rlike("result|evaluation|experiment"), 0.07).when(s.rlike("abstract|introduction|conclusion"), 0.035).otherwise(0.0)
@@ -55,14 +55,14 @@ def search_overlap_by_paper(spark, d):
     from lectern.operators import relational as R
 
     q = probes(spark).select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("want"))
-    x = documents(spark, d).where("paper_id is not null").select("paper_id", F.array_distinct(X.tokens(F.col("text"))).alias("have")).crossJoin(F.broadcast(q))
+    x = texts(spark, d).where("paper_id is not null").select("paper_id", F.array_distinct(X.tokens(F.col("text"))).alias("have")).crossJoin(F.broadcast(q))
     s = x.select("query_id", "paper_id", F.size(F.array_intersect("want", "have")).alias("hits"), F.size("want").alias("of"))
     best = s.groupBy("query_id", "paper_id").agg(F.max("hits").alias("hits"), F.max("of").alias("of")).where("hits > 0")
     return R.top_k(best, ["query_id"], [F.desc("hits"), F.col("paper_id")], 5)
 
 
 def feature_hashing(spark, d):
-    return S.feature_hashes(documents(spark, d))
+    return S.feature_hashes(texts(spark, d))
 
 
 def metadata_boost(spark, d):
@@ -81,7 +81,7 @@ def evidence_quality(spark, d):
     p = F.when(t.contains("@"), 0.035).otherwise(0.0) + F.when(has("proceedings of", "annual conference", "conference on", " arxiv", " doi", " et al"), 0.085).otherwise(0.0)
     p = p + F.when(F.size(F.regexp_extract_all(t, F.lit(r"\[[0-9]+\]"), F.lit(0))) >= 2, 0.09).otherwise(0.0) + F.when(has("department of", "university of"), 0.025).otherwise(0.0)
     b = F.when(has("we ", "this paper", "this research", "results", "demonstrates", "proposes", "evaluat"), 0.025).otherwise(0.0) + F.when(has("future work", "limitations", "future research"), 0.12).otherwise(0.0)
-    return documents(spark, d).where("text is not null").select("doc_id", F.round(F.greatest(F.lit(-0.22), F.least(F.lit(0.08), b - p)), 6).alias("quality"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.round(F.greatest(F.lit(-0.22), F.least(F.lit(0.08), b - p)), 6).alias("quality"))
 
 
 def nearest_exact(spark, d):
@@ -101,12 +101,12 @@ def nearest_judged(spark, d):
 
 
 def snippets(spark, d):
-    return documents(spark, d).where("text is not null").select("doc_id", S.snippet(F.col("text"), ["clustering", "forests", "baseline"]).alias("snippet"))
+    return texts(spark, d).where("text is not null").select("doc_id", S.snippet(F.col("text"), ["clustering", "forests", "baseline"]).alias("snippet"))
 
 
 def sectioned_best(spark, d):
     """The best passage of every section for each probe."""
-    h = S.coverage(documents(spark, d), probes(spark), 200).join(documents(spark, d).select("doc_id", "section"), "doc_id").where("section is not null")
+    h = S.coverage(texts(spark, d), probes(spark), 200).join(documents(spark, d).select("doc_id", "section"), "doc_id").where("section is not null")
     w = Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "doc_id")
     return h.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "section", "doc_id", "score")
 

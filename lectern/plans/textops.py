@@ -7,40 +7,40 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators.chunking import chunk_documents
-from lectern.plans.catalog import PAPERS, QA, cases, documents, papers
+from lectern.plans.catalog import PAPERS, QA, cases, documents, texts, papers
 from lectern.session import table
 
 
 def token_counts(spark, d):
     t = X.tokens(F.col("text"))
-    return documents(spark, d).select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
+    return texts(spark, d).select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
 
 
 def word_counts(spark, d):
     w = F.filter(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")), " "), lambda x: x != "")
-    return documents(spark, d).where("text is not null").select("doc_id", F.size(w).alias("words"), F.floor(F.size(w) * F.lit(1.3)).cast("long").alias("token_estimate"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.size(w).alias("words"), F.floor(F.size(w) * F.lit(1.3)).cast("long").alias("token_estimate"))
 
 
 def sentence_counts(spark, d):
     s = X.sentences(F.col("text"))
-    return documents(spark, d).where("text is not null and lang = 'en'").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
+    return texts(spark, d).where("text is not null and lang = 'en'").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
 
 
 def first_heading(spark, d):
     """The section of the first line of each passage that is a heading."""
     lines = F.transform(F.split("text", "\n"), lambda x: X.section_of(x))
     first = F.get(F.filter(lines, lambda x: x.isNotNull()), 0)
-    return documents(spark, d).where("text is not null").select("doc_id", F.coalesce(first, F.lit("Unknown")).alias("inferred")).groupBy("inferred").agg(F.count("*").alias("n"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.coalesce(first, F.lit("Unknown")).alias("inferred")).groupBy("inferred").agg(F.count("*").alias("n"))
 
 
 def section_names(spark, d):
-    return documents(spark, d).groupBy(F.coalesce(X.section_of(F.col("section")), F.lit("Unknown")).alias("canonical"), "section").agg(F.count("*").alias("n"))
+    return texts(spark, d).groupBy(F.coalesce(X.section_of(F.col("section")), F.lit("Unknown")).alias("canonical"), "section").agg(F.count("*").alias("n"))
 
 
 def passage_ids(spark, d):
     """Stable ids: paper, order in the paper, and the start of the text's hash."""
     w = Window.partitionBy("paper_id").orderBy("doc_id")
-    x = documents(spark, d).where("paper_id is not null and text is not null").withColumn("i", F.row_number().over(w) - 1)
+    x = texts(spark, d).where("paper_id is not null and text is not null").withColumn("i", F.row_number().over(w) - 1)
     return x.select("doc_id", F.concat(F.col("paper_id"), F.lit("-chunk-"), F.lpad(F.col("i").cast("string"), 4, "0"), F.lit("-"), F.substring(F.sha1("text"), 1, 12)).alias("passage_id"), F.sha2("text", 256).alias("source_hash"))
 
 
@@ -56,7 +56,7 @@ def topics_in_text(spark, d):
     """Controlled topics by texts: one scan, an array of the topics found."""
     low = F.lower("text")
     found = F.array(*[F.when(low.rlike("|".join(X.phrase_pattern(t) for t in terms)), F.lit(topic)) for topic, terms in X.TOPIC_TERMS.items()])
-    return documents(spark, d).where("text is not null").select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("topic"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("topic"))
 
 
 def topic_scores(spark, d):
@@ -89,7 +89,7 @@ def cleaned_text(spark, d):
     """Links, addresses and spaces before punctuation taken out."""
     c = F.regexp_replace(F.col("text"), r"https?://[^ \n]+|[a-zA-Z0-9._-]+@[a-zA-Z0-9.-]+", "")
     c = F.regexp_replace(c, r"[ \t]+([,.;:!?])", "$1")
-    return documents(spark, d).where("text is not null").select("doc_id", F.md5(c).alias("cleaned_md5"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.md5(c).alias("cleaned_md5"))
 
 
 def query_expansion(spark, d):
@@ -100,13 +100,13 @@ def query_expansion(spark, d):
 
 def term_postings(spark, d):
     """The inverted index in terms: in how many texts a term is, and how often."""
-    t = documents(spark, d).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    t = texts(spark, d).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
     n = t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     return n.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("most")).where("df >= 2")
 
 
 def chunks(spark, d):
-    return chunk_documents(documents(spark, d), "doc_id", "text", words=120, chars=900, overlap=20, least=80).select("doc_id", "chunk_index", "word_count", "char_count", F.md5("text").alias("text_md5"))
+    return chunk_documents(texts(spark, d), "doc_id", "text", words=120, chars=900, overlap=20, least=80).select("doc_id", "chunk_index", "word_count", "char_count", F.md5("text").alias("text_md5"))
 
 
 QUERIES = {

@@ -35,6 +35,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table for work that is heavy per row.
+
+    A table of fewer splits than the cluster has cores (one small file, say) is
+    dealt out to all cores; larger tables are read as they lie, without a
+    shuffle."""
+    df = table(spark, folder, name)
+    if columns:
+        df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
