@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import tidy
 from lectern.llm import components, cutting, encoding, mixing, neighbours, overlap, quality, scans
-from lectern.session import table
+from lectern.session import spread_table, table
 
 
 def p1_found(spark, d):
@@ -19,7 +19,7 @@ def p1_neighbours(spark, d):
 
 
 def _overlaps(spark, d):
-    return overlap.cross_split_overlaps(overlap.project_records(table(spark, d, "qa_selective_response_v2"), table(spark, d, "finder_proxy_profiles_v2")))
+    return overlap.cross_split_overlaps(overlap.project_records(spread_table(spark, d, "qa_selective_response_v2", "case_id", "split", "question"), spread_table(spark, d, "finder_proxy_profiles_v2", "profile_id", "split", "interests")))
 
 
 def p2_found(spark, d):
@@ -53,7 +53,7 @@ def p3_incremental(spark, d):
 
 
 def _pieces(spark, d):
-    pages = table(spark, d, "ocr").where("paper_id is not null and page_number is not null and text is not null").select("paper_id", "page_number", "text")
+    pages = spread_table(spark, d, "ocr", "paper_id", "page_number", "text").where("paper_id is not null and page_number is not null and text is not null")
     return pages, ["paper_id", "page_number"]
 
 
@@ -81,16 +81,16 @@ def p5_pages(spark, d):
 
 
 def p6_ids(spark, d):
-    return encoding.encode(table(spark, d, "documents"))
+    return encoding.encode(spread_table(spark, d, "documents", "doc_id", "text"))
 
 
 def p6_decoded(spark, d):
-    return encoding.decode(encoding.encode(table(spark, d, "documents")))
+    return encoding.decode(encoding.encode(spread_table(spark, d, "documents", "doc_id", "text")))
 
 
 def _mixture(spark, d):
     docs = table(spark, d, "documents")
-    tokens = encoding.encode(docs).select("doc_id", F.size("ids").alias("tokens"))
+    tokens = encoding.encode(spread_table(spark, d, "documents", "doc_id", "text")).select("doc_id", F.size("ids").alias("tokens"))
     named = docs.select("doc_id", tidy("source").alias("source_name")).where("source_name is not null")
     return mixing.mix(tokens.where("tokens > 0").join(named, "doc_id"), table(spark, d, "mix_targets"))
 
@@ -104,7 +104,7 @@ def p7_shares(spark, d):
 
 
 def _kinds(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread_table(spark, d, "documents", "doc_id", "text")
     return quality.classify(docs, quality.learn(docs, table(spark, d, "doc_kind_labels")))
 
 
@@ -120,7 +120,7 @@ def p8_statistics(spark, d):
 def p8_counts(spark, d):
     """The plain counts among the statistics."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\r\f", "   ")) != "")
-    return quality.statistics(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "word_count", F.size(lines).cast("long").alias("line_count"))
+    return quality.statistics(spread_table(spark, d, "documents", "doc_id", "text")).select("doc_id", "word_count", F.size(lines).cast("long").alias("line_count"))
 
 
 def queries():
