@@ -27,11 +27,32 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started.
+
+    Workers on this machine get its place in their path; a cluster gets the
+    package as a zip file, once a session."""
+    context = spark.sparkContext
+    have = context.environment.get("PYTHONPATH", "")
+    if ROOT in have.split(os.pathsep):
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
+    if not context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "lectern"), "zip", ROOT, "lectern"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
