@@ -3,10 +3,11 @@
 The lines of a page are labelled as running header, page number, body or break
 by a hidden Markov model over layout features (place on the page, likeness to
 title, venue and authors, width, indent, case, punctuation).  Its tables are
-counted on pages whose repaired text is known, then refined by Viterbi training
-on a bounded sample of further pages.  Words cut at line ends and misread words
-are judged by the word counts of the whole scanned corpus.  Body lines are put
-together to paragraphs; a word cut by a page end is joined with the next page by
+counted on all pages whose repaired text is known, then refined by Viterbi
+training on all scanned pages, whose counts Spark sums.  Words cut at line ends
+and misread words are judged by the word counts of the whole scanned corpus: the
+most frequent words are sent to all tasks, the others joined by a shuffle to the
+pages that ask for them.  Body lines are put together to paragraphs; a word cut by a page end is joined with the next page by
 an equi-join on the page number, so no task holds more than single pages.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -112,77 +113,117 @@ def line_features(lines: list[str], running: tuple) -> list[tuple | None]:
     return out
 
 
+#: The features of a line near an end of its page, with how many values each has.
+FEATURES = (("top", 4), ("bottom", 4), ("number", 3), ("like", 4), ("width", 4), ("alone", 4), ("end", 2), ("lower", 2), ("capitals", 3), ("indent", 2))
+BLANK, INNER = -1, -2
+
+
+def _code(feature: tuple | None) -> int:
+    """The features of a line as one number."""
+    if feature is None:
+        return BLANK
+    if feature == ("inner",):
+        return INNER
+    n = 0
+    for (_, size), (_, value) in zip(FEATURES, feature):
+        n = n * size + int(value)
+    return n
+
+
+def _decode(code: int) -> tuple | None:
+    if code < 0:
+        return None if code == BLANK else ("inner",)
+    out = []
+    for name, size in reversed(FEATURES):
+        code, value = divmod(code, size)
+        out.append((name, value))
+    return tuple(out[::-1])
+
+
 @dataclass
 class Model:
     start: np.ndarray
     step: np.ndarray
     end: np.ndarray
     emit: dict  # (feature) -> log probabilities by state
+    memo: dict = field(default_factory=dict)
+
+    def scores(self, code: int) -> np.ndarray:
+        e = self.memo.get(code)
+        if e is None:
+            feature, e = _decode(code), np.zeros(4)
+            for f in [None] if feature is None else feature:
+                e = e + self.emit.get(f, 0.0)
+            self.memo[code] = e
+        return e
+
+    def label(self, pages: list[np.ndarray], block: int = 1024) -> list[np.ndarray]:
+        """The likeliest states (Viterbi) of the coded lines of each page, for
+        blocks of pages at once, longest first."""
+        out: list = [np.zeros(0, np.int8)] * len(pages)
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: -len(pages[i]))
+        for lo in range(0, len(order), block):
+            mine = order[lo : lo + block]
+            size = np.array([len(pages[i]) for i in mine])
+            codes, at = np.unique(np.concatenate([pages[i] for i in mine]), return_inverse=True)
+            emit = np.stack([self.scores(c) for c in codes.tolist()])[at]
+            offset = np.cumsum(size) - size
+            score = self.start + emit[offset]
+            back = np.zeros((size[0], len(mine), 4), np.int8)
+            for t in range(1, size[0]):
+                m = int((size > t).sum())
+                v = score[:m, :, None] + self.step
+                back[t, :m] = v.argmax(1)
+                score[:m] = v.max(1) + emit[offset[:m] + t]
+            state = (score + self.end).argmax(1)
+            path = np.zeros((size[0], len(mine)), np.int8)
+            for t in range(size[0] - 1, -1, -1):
+                m = int((size > t).sum())
+                path[t, :m] = state[:m]
+                state[:m] = back[t, np.arange(m), state[:m]]
+            for n, i in enumerate(mine):
+                out[i] = path[: size[n], n]
+        return out
 
-    def scores(self, feature: tuple | None) -> np.ndarray:
-        if feature is None:
-            return self.emit[None]
-        total = np.zeros(4)
-        for f in feature:
-            total = total + self.emit.get(f, 0.0)
-        return total
-
-    def label(self, features: list[tuple | None]) -> list[int]:
-        """The likeliest states (Viterbi)."""
-        if not features:
-            return []
-        memo: dict = {}
-        step, back = self.step, []
-        score = None
-        for f in features:
-            e = memo.get(f)
-            if e is None:
-                e = memo[f] = self.scores(f).tolist()
-            if score is None:
-                score = [a + b for a, b in zip(self.start.tolist(), e)]
-                rows = step.T.tolist()
-                continue
-            new, from_ = [0.0] * 4, [0] * 4
-            for s in range(4):
-                row = rows[s]
-                best, b = score[0] + row[0], 0
-                for r in (1, 2, 3):
-                    v = score[r] + row[r]
-                    if v > best:
-                        best, b = v, r
-                new[s], from_[s] = best + e[s], b
-            back.append(from_)
-            score = new
-        score = [a + b for a, b in zip(score, self.end.tolist())]
-        state = max(range(4), key=lambda s: score[s])
-        path = [state]
-        for from_ in reversed(back):
-            state = from_[state]
-            path.append(state)
-        return path[::-1]
-
-
-def fit(pages: list[tuple[list[tuple | None], list[int]]], weight: float = 0.5) -> Model:
-    """Count the tables of the model on labelled pages, smoothed by ``weight``."""
+
+def tally(pages: list[np.ndarray], labels: list) -> Counter:
+    """What the model counts on labelled pages: (what, key, state) -> n, for
+    starts, ends, steps and coded lines."""
+    out = Counter()
+    for codes, states in zip(pages, labels):
+        if not len(states):
+            continue
+        states = np.asarray(states, np.int64)
+        out["start", 0, int(states[0])] += 1
+        out["end", 0, int(states[-1])] += 1
+        for x, n in enumerate(np.bincount(states[:-1] * 4 + states[1:], minlength=16).tolist()):
+            if n:
+                out["step", x // 4, x % 4] += n
+        out.update(("line", c, s) for c, s in zip(codes.tolist(), states.tolist()))
+    return out
+
+
+def fit(counts: Counter, weight: float = 0.5) -> Model:
+    """The tables of the model from what :func:`tally` counts, smoothed by ``weight``."""
     start, end, step = np.full(4, weight), np.full(4, weight), np.full((4, 4), weight)
     state_n = np.full(4, weight)
     values: dict = {}
     blank = np.full(4, 1e-3)
-    for features, labels in pages:
-        if not labels:
-            continue
-        start[labels[0]] += 1
-        end[labels[-1]] += 1
-        for a, b in zip(labels, labels[1:]):
-            step[a, b] += 1
-        for f, s in zip(features, labels):
-            state_n[s] += 1
-            if f is None:
-                blank[s] += 1
+    for (what, key, s), n in sorted(counts.items()):
+        if what == "start":
+            start[s] += n
+        elif what == "end":
+            end[s] += n
+        elif what == "step":
+            step[key, s] += n
+        else:
+            state_n[s] += n
+            feature = _decode(key)
+            if feature is None:
+                blank[s] += n
                 continue
-            for x in f:
-                values.setdefault(x, np.full(4, weight))[s] += 1
-    groups = Counter(x[0] for x in values)
+            for x in feature:
+                values.setdefault(x, np.full(4, weight))[s] += n
     totals: dict = {}
     for x, n in values.items():
         totals[x[0]] = totals.get(x[0], 0) + n
@@ -200,7 +241,6 @@ def fit(pages: list[tuple[list[tuple | None], list[int]]], weight: float = 0.5)
     for x in list(emit):
         if x is not None and x[0] in ("top", "inner"):
             emit[x] = emit[x] + rest
-    assert groups is not None
     log = lambda a: np.log(a / a.sum(-1, keepdims=True))
     return Model(log(start), log(step), log(end), emit)
 
@@ -224,23 +264,6 @@ def known_labels(lines: list[str], repaired: str) -> list[int]:
     return out
 
 
-def train(known: list[dict], more: list[dict], rounds: int = 2) -> Model:
-    """A model from pages with repaired text and a sample without."""
-    if not known:
-        # without any known page: a page number is a number at an end, all else body
-        known = [{"text": "Title of it\n\nbody text goes on here.\nand here it\n12", "repaired": "body text goes on here.\nand here it", "title": "Title of it", "venue": None, "authors": []}]
-    rows = lambda p: (p["text"].split("\n"), _running(p["title"], p["venue"], tuple(p["authors"] or ())))
-    sure = []
-    for p in known:
-        lines, running = rows(p)
-        sure.append((line_features(lines, running), known_labels(lines, p["repaired"])))
-    model = fit(sure)
-    plain = [line_features(*rows(p)) for p in more]
-    for _ in range(rounds if plain else 0):
-        model = fit(sure + [(f, model.label(f)) for f in plain])
-    return model
-
-
 # --- words ------------------------------------------------------------------
 
 
@@ -273,9 +296,10 @@ def page_words(text: str) -> list[str]:
     return out
 
 
-def lexicon(pages: DataFrame, least: int = 5, bound: int = 200_000) -> dict[str, int]:
-    """Counts of the words that ``pages`` (text) write in lower case: at most the
-    ``bound`` most frequent of at least ``least`` occurrences."""
+def lexicon(pages: DataFrame, least: int = 5, bound: int = 200_000) -> tuple[dict[str, int], DataFrame | None]:
+    """Counts of the words of at least ``least`` occurrences that ``pages``
+    (text) write in lower case: the ``bound`` most frequent ones, and a table
+    (word, n) of all others if there are any."""
 
     def run(batches):
         for batch in batches:
@@ -285,7 +309,83 @@ def lexicon(pages: DataFrame, least: int = 5, bound: int = 200_000) -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
     counted = pages.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(bound).collect()}
+    counted = cut(counted.where(F.col("n") >= least), "scan-words")
+    head = [(r[0], r[1]) for r in counted.orderBy(F.desc("n"), "word").limit(bound).collect()]
+    if len(head) < bound:
+        return dict(head), None
+    word, n = head[-1]
+    return dict(head), counted.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
+
+
+def spellings(word: str) -> set[str]:
+    """What ``word`` may be a misreading of, by marks and look-alikes."""
+    low = word.lower()
+    found = {"".join(c for c in low if c not in SPECKS), fold(low)}
+    for c in {c for c in word if c in LOOKS_LIKE}:
+        for to in LOOKS_LIKE[c]:
+            found.add(word.replace(c, to).lower())
+            i = word.index(c)
+            found.add((word[:i] + to + word[i + 1 :]).lower())
+    found.add("".join(LOOKS_LIKE.get(c, c)[0] if not c.isalpha() else c for c in low))
+    for a, b in PAIRS:
+        i = low.find(a)
+        while i >= 0:
+            found.add(low[:i] + b + low[i + len(a) :])
+            i = low.find(a, i + 1)
+    for i in range(len(low)):
+        if not low[i].isalnum():
+            found.add(low[:i] + low[i + 1 :])
+    return found
+
+
+def letter_spellings(low: str) -> list[str]:
+    """Words that differ from ``low`` by one letter read for another."""
+    return [low[:i] + to + low[i + 1 :] for i, c in enumerate(low) for to in VISUAL.get(c, "")]
+
+
+def pair_words(left: str, right: str) -> set[str]:
+    """The words that are asked about where ``left`` is cut and ``right`` follows."""
+    right, left = right.rstrip("\r").strip(OUTER), left.lstrip(OUTER)
+    out = {left + right, left + "-" + right, left, right, left.rstrip(HYPHENS) + right}
+    return out | {left.rsplit("-", 1)[1] + right} if "-" in left else out
+
+
+def asked_words(lines: list[str], labels: list[int]) -> set[str]:
+    """The words that are asked about on a page."""
+    out, body = set(), [x for x, s in zip(lines, labels) if s == BODY]
+    for n, line in enumerate(body):
+        out.update(t.strip(OUTER) for t in line.split())
+        end = _cut_end(line)
+        if end is not None:
+            out |= pair_words(end, next((f for f in map(_first, body[n + 1 :]) if f), ""))
+    return out
+
+
+def rare_counts(asked: DataFrame, tail: DataFrame, head: dict[str, int]) -> DataFrame:
+    """(paper_id, page_number, more): counts of the words of ``tail`` that decide
+    about the ``form``s of ``asked`` (paper_id, page_number, form).
+
+    A form in ``head`` is left out of ``asked``: only a word that is much more
+    frequent corrects it, and such words are in ``head`` too."""
+    shared = asked.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        for batch in batches:
+            form, word = [], []
+            for f in batch.column("form").to_pylist():
+                low = f.lower()
+                mine = {low}
+                if len(low) <= 40:
+                    mine |= spellings(f)
+                    mine.update(letter_spellings(low))
+                mine.difference_update(shared.value)
+                form += [f] * len(mine)
+                word += mine
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(word, pa.string())], ["form", "word"])
+
+    counts = asked.select("form").distinct().mapInArrow(run, "form string, word string").join(tail, "word")
+    counts = counts.groupBy("form").agg(F.collect_list(F.struct("word", "n")).alias("more"))
+    return asked.join(counts, "form").groupBy("paper_id", "page_number").agg(F.flatten(F.collect_list("more")).alias("more"))
 
 
 class Speller:
@@ -293,7 +393,18 @@ class Speller:
 
     def __init__(self, counts: dict[str, int], ratio: int = 12):
         self.counts, self.ratio, self.memo = counts, ratio, {}
-        self.fine, self.bad = set(), set()
+        self.fine, self.bad, self.rare = set(), set(), set()
+
+    def add(self, more: list[dict] | None) -> None:
+        """Take in the rare words' counts that the next page needs."""
+        if len(self.rare) > 500_000:
+            for w in self.rare:
+                del self.counts[w]
+            self.rare.clear()
+        for x in more or ():
+            if x["word"] not in self.counts:
+                self.counts[x["word"]] = x["n"]
+                self.rare.add(x["word"])
 
     def misread(self, tokens: list[str]) -> bool:
         """Whether any token is a misread ordinary word.  Tokens are judged once
@@ -302,7 +413,7 @@ class Speller:
             return True
         for t in set(tokens).difference(self.fine):
             w = t.strip(OUTER)
-            if w and self.counts.get(w, 0) < 1000 and self.fix(w):
+            if w and self.fix(w):
                 self.bad.add(t)
                 return True
             if len(self.fine) > 1_000_000:
@@ -324,34 +435,15 @@ class Speller:
         if len(low) < 2 or len(low) > 40 or not any(c.isalpha() for c in low):
             return None
         own = self.counts.get(low, 0)
-        found = set()
-        marks = "".join(c for c in low if c not in SPECKS)
-        found.add(marks)
-        found.add(fold(low))
-        for c in {c for c in word if c in LOOKS_LIKE}:
-            for to in LOOKS_LIKE[c]:
-                found.add(word.replace(c, to).lower())
-                i = word.index(c)
-                found.add((word[:i] + to + word[i + 1 :]).lower())
-        several = "".join(LOOKS_LIKE.get(c, c)[0] if not c.isalpha() else c for c in low)
-        found.add(several)
-        for a, b in PAIRS:
-            i = low.find(a)
-            while i >= 0:
-                found.add(low[:i] + b + low[i + len(a) :])
-                i = low.find(a, i + 1)
-        for i in range(len(low)):
-            if not low[i].isalnum():
-                found.add(low[:i] + low[i + 1 :])
+        found = spellings(word)
         best = max(((self.counts.get(f, 0), f) for f in found if f != low and len(f) > 1), default=(0, ""))
         if low.isalpha() and low.isascii():
             # a word of letters only may be another ordinary word
             need = 4 * self.ratio
-            for i, c in enumerate(low):
-                for to in VISUAL.get(c, ""):
-                    n = self.counts.get(low[:i] + to + low[i + 1 :], 0)
-                    if n > best[0]:
-                        best = (n, low[:i] + to + low[i + 1 :])
+            for x in letter_spellings(low):
+                n = self.counts.get(x, 0)
+                if n > best[0]:
+                    best = (n, x)
         else:
             need = self.ratio
         return best[1] if best[0] >= need * max(1, own) else None
@@ -382,13 +474,11 @@ class Speller:
         return self.counts.get(word.lower(), 0) > 0
 
 
-def read_page(text: str, running: tuple, model: Model, speller: Speller, scanned: bool = True):
-    """Labels of the lines, the lines whose last word must be joined within the
+def read_page(lines: list[str], labels: list[int], speller: Speller, scanned: bool = True):
+    """Of a page with labelled lines, the lines whose last word must be joined within the
     page, the lines with misread words, the first body line and the end of the
     last body line as (line, word before the mark) if it is cut.  Of a native
     page only its ends are read."""
-    lines = text.split("\n")
-    labels = model.label(line_features(lines, running))
     body = [i for i, s in enumerate(labels) if s == BODY]
     joined, misread = [], set()
     for n, i in enumerate(body if scanned else ()):
@@ -400,14 +490,13 @@ def read_page(text: str, running: tuple, model: Model, speller: Speller, scanned
             joined.append(i)
             right = _first(nxt).strip(OUTER)
             whole = end.lstrip(OUTER) + right
-            if whole.lower() not in speller.counts or speller.counts[whole.lower()] < 200:
-                fixed = speller.fix(whole)
-                if fixed:
-                    same = 0
-                    low = whole.lower()
-                    while same < min(len(low), len(fixed)) and low[same] == fixed[same]:
-                        same += 1
-                    misread.add(i if same < len(end.lstrip(OUTER)) else body[n + 1])
+            fixed = speller.fix(whole)
+            if fixed:
+                same = 0
+                low = whole.lower()
+                while same < min(len(low), len(fixed)) and low[same] == fixed[same]:
+                    same += 1
+                misread.add(i if same < len(end.lstrip(OUTER)) else body[n + 1])
         part = tokens[1:] if skip_first else tokens
         if end is not None and part:
             part = part[:-1]
@@ -415,52 +504,119 @@ def read_page(text: str, running: tuple, model: Model, speller: Speller, scanned
             misread.add(i)
     first = _first(lines[body[0]]) if body else None
     cut_ = _cut_end(lines[body[-1]]) if body else None
-    return lines, labels, joined, sorted(misread), first, (body[-1], cut_) if cut_ is not None else None
+    return joined, sorted(misread), first, (body[-1], cut_) if cut_ is not None else None
 
 
 def prepare(ocr: DataFrame, papers: DataFrame, small: int = 100_000) -> DataFrame:
     """Pages with text, each once, with the title, venue and authors of their
-    paper: (paper_id, page_number, scanned, text, confidence, title, venue,
-    authors).  ``scanned`` is status ``completed``; native pages stay because
+    paper: (paper_id, page_number, scanned, text, lines), ``lines`` being the
+    features of each line as a number.  ``scanned`` is status ``completed``; native pages stay because
     words run on into them.  Pages without a paper id or number, or whose text
     is null or blank, are left out.  Papers are sent to all tasks only if there
     are at most ``small`` of them."""
     pages = ocr.where("paper_id is not null and page_number is not null and trim(text) <> '' and status in ('completed', 'not_needed')")
-    pages = pages.select("paper_id", "page_number", (F.col("status") == "completed").alias("scanned"), "text", "confidence").dropDuplicates(["paper_id", "page_number"])
+    pages = pages.select("paper_id", "page_number", (F.col("status") == "completed").alias("scanned"), "text").dropDuplicates(["paper_id", "page_number"])
     info = papers.where("paper_id is not null").select("paper_id", "title", "venue", "authors").dropDuplicates(["paper_id"])
     if info.limit(small + 1).count() <= small:
         info = F.broadcast(info)
-    return pages.join(info, "paper_id", "left")
 
+    def run(batches):
+        for batch in batches:
+            col = [batch.column(n).to_pylist() for n in ("text", "title", "venue", "authors")]
+            codes = [[_code(f) for f in line_features(text.split("\n"), _running(title, venue, tuple(authors or ())))] for text, title, venue, authors in zip(*col)]
+            left = batch.select(["paper_id", "page_number", "scanned", "text"])
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(codes, pa.list_(pa.int32()))], ["paper_id", "page_number", "scanned", "text", "lines"])
+
+    joined = pages.join(info, "paper_id", "left").select("paper_id", "page_number", "scanned", "text", "title", "venue", "authors")
+    return joined.mapInArrow(run, "paper_id string, page_number int, scanned boolean, text string, lines array<int>")
+
+
+def _codes(column: pa.Array) -> list[np.ndarray]:
+    flat = np.asarray(column.flatten(), dtype=np.int32)
+    return np.split(flat, np.cumsum(np.asarray(column.value_lengths()))[:-1]) if len(column) else []
+
+
+def _sum(counts: DataFrame) -> Counter:
+    return Counter({(r[0], r[1], r[2]): r[3] for r in counts.groupBy("what", "key", "state").agg(F.sum("n")).collect()})
+
+
+def _rows(n: Counter) -> pa.RecordBatch:
+    what, key, state = zip(*n) if n else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(key, pa.int32()), pa.array(state, pa.int32()), pa.array(n.values(), pa.int64())], ["what", "key", "state", "n"])
+
+
+COUNTS = "what string, key int, state int, n long"
+
+
+def learn(pages: DataFrame, repaired: DataFrame, rounds: int = 2, small: int = 500, trust: int = 1500) -> Model:
+    """The model from all pages with repaired text, refined in ``rounds`` of
+    Viterbi training on all scanned pages.  These count together as ``trust``
+    pages at most: labels the model gave itself must not outweigh known ones as
+    the table grows.  Repaired pages are sent to all tasks only if there are at
+    most ``small`` of them."""
+    gold = repaired.where("repaired_text is not null").select("paper_id", "page_number", "repaired_text").dropDuplicates(["paper_id", "page_number"])
+    if gold.limit(small + 1).count() <= small:
+        gold = F.broadcast(gold)
+
+    def known(batches):
+        for batch in batches:
+            labels = [known_labels(t.split("\n"), r) for t, r in zip(batch.column("text").to_pylist(), batch.column("repaired_text").to_pylist())]
+            yield _rows(tally(_codes(batch.column("lines")), labels))
 
-def learn(pages: DataFrame, repaired: DataFrame, known_bound: int = 500, sample: int = 1500) -> Model:
-    """The model from at most ``known_bound`` pages with repaired text and about
-    ``sample`` other scanned pages, chosen by hash."""
-    gold = repaired.where("repaired_text is not null").dropDuplicates(["paper_id", "page_number"]).orderBy("paper_id", "page_number").limit(known_bound)
-    known = [r.asDict() for r in pages.join(F.broadcast(gold), ["paper_id", "page_number"]).select("text", F.col("repaired_text").alias("repaired"), "title", "venue", "authors").collect()]
-    scanned = pages.where("scanned")
-    n = scanned.count()
-    keep = F.pmod(F.xxhash64("paper_id", "page_number"), F.lit(1_000_000)) < F.lit(min(1.0, sample / max(1, n)) * 1_000_000)
-    more = [r.asDict() for r in scanned.where(keep).select("text", "title", "venue", "authors").limit(2 * sample).collect()]
-    return train(known, more)
+    sure = _sum(pages.join(gold, ["paper_id", "page_number"]).select("text", "lines", "repaired_text").mapInArrow(known, COUNTS))
+    if not sure:
+        # without any known page: a page number is a number at an end, all else body
+        lines, text = "Title of it\n\nbody text goes on here.\nand here it\n12".split("\n"), "body text goes on here.\nand here it"
+        sure = tally([np.array([_code(f) for f in line_features(lines, _running("Title of it", None, ()))])], [known_labels(lines, text)])
+    model = fit(sure)
+    for _ in range(rounds):
+        shared = pages.sparkSession.sparkContext.broadcast(model)
+
+        def more(batches, shared=shared):
+            for batch in batches:
+                codes = _codes(batch.column("lines"))
+                yield _rows(tally(codes, shared.value.label(codes)))
+
+        found = _sum(pages.where("scanned").select("lines").mapInArrow(more, COUNTS))
+        share = min(1.0, trust / max(1, sum(n for (what, _, _), n in found.items() if what == "start")))
+        model = fit(sure + Counter({x: n * share for x, n in found.items()}))
+    return model
 
 
 READ = "paper_id string, page_number int, scanned boolean, labels string, joined array<int>, misread array<int>, first string, last_line int, last_cut string, body array<string>"
+MORE = "array<struct<word:string,n:bigint>>"
 
 
-def read_pages(pages: DataFrame, model: Model, counts: dict[str, int], with_body: bool = False) -> DataFrame:
+def read_pages(pages: DataFrame, model: Model, counts: dict[str, int], tail: DataFrame | None = None, with_body: bool = False) -> DataFrame:
     """What :func:`read_page` finds of every page; labels as one letter a line
-    (H, N, B, and _ for a break), line numbers from 0; body lines on request."""
+    (H, N, B, and _ for a break), line numbers from 0; body lines on request,
+    then with the counts of rare words (``more``) too."""
     shared = pages.sparkSession.sparkContext.broadcast((model, counts))
 
+    def ask(batches):
+        model, counts = shared.value
+        for batch in batches:
+            labels = model.label(_codes(batch.column("lines")))
+            forms = [[f for f in asked_words(t.split("\n"), s.tolist()) if f and f.lower() not in counts] for t, s in zip(batch.column("text").to_pylist(), labels)]
+            left = batch.select(["paper_id", "page_number"])
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(forms, pa.list_(pa.string()))], ["paper_id", "page_number", "form"])
+
+    if tail is None:
+        pages = pages.withColumn("more", F.lit(None).cast(MORE))
+    else:
+        asked = pages.where("scanned").select("paper_id", "page_number", "text", "lines").mapInArrow(ask, "paper_id string, page_number int, form array<string>")
+        pages = pages.join(rare_counts(asked.withColumn("form", F.explode("form")), tail, counts), ["paper_id", "page_number"], "left")
+
     def run(batches):
         model, counts = shared.value
-        speller = Speller(counts)
+        speller = Speller(dict(counts))
         for batch in batches:
             out = []
-            col = [batch.column(n).to_pylist() for n in ("scanned", "text", "title", "venue", "authors")]
-            for scanned, text, title, venue, authors in zip(*col):
-                lines, labels, joined, misread, first, last = read_page(text, _running(title, venue, tuple(authors or ())), model, speller, scanned)
+            states = model.label(_codes(batch.column("lines")))
+            for scanned, text, labels, more in zip(batch.column("scanned").to_pylist(), batch.column("text").to_pylist(), states, batch.column("more").to_pylist()):
+                lines, labels = text.split("\n"), labels.tolist()
+                speller.add(more)
+                joined, misread, first, last = read_page(lines, labels, speller, scanned)
                 body = None
                 if with_body:
                     body = [("" if s == BREAK else x.strip()) for x, s in zip(lines, labels) if s in (BODY, BREAK)]
@@ -468,40 +624,55 @@ def read_pages(pages: DataFrame, model: Model, counts: dict[str, int], with_body
             cols = list(zip(*out)) if out else [[] for _ in range(7)]
             kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
             left = batch.select(["paper_id", "page_number", "scanned"])
-            yield pa.RecordBatch.from_arrays([*left.columns, *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["paper_id", "page_number", "scanned", "labels", "joined", "misread", "first", "last_line", "last_cut", "body"])
+            more = batch.column("more") if with_body else pa.nulls(batch.num_rows, batch.column("more").type)
+            yield pa.RecordBatch.from_arrays([*left.columns, *[pa.array(c, k) for c, k in zip(cols, kinds)], more], ["paper_id", "page_number", "scanned", "labels", "joined", "misread", "first", "last_line", "last_cut", "body", "more"])
 
-    return pages.select("paper_id", "page_number", "scanned", "text", "title", "venue", "authors").mapInArrow(run, READ)
+    return pages.select("paper_id", "page_number", "scanned", "text", "lines", "more").mapInArrow(run, f"{READ}, more {MORE}")
 
 
-def across_pages(read: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """(paper_id, page_number, line, first): cut ends of pages whose word goes on
-    at the start of the next page."""
+def across_pages(read: DataFrame, counts: dict[str, int], tail: DataFrame | None = None) -> DataFrame:
+    """(paper_id, page_number, scanned, last_line, last_cut, next_first, more):
+    cut ends of pages whose word goes on at the start of the next page."""
     ends = read.where("last_cut is not null").select("paper_id", "page_number", "scanned", "last_line", "last_cut")
     starts = read.where("first is not null").select("paper_id", (F.col("page_number") - 1).alias("page_number"), F.col("first").alias("next_first"))
     shared = read.sparkSession.sparkContext.broadcast(counts)
 
+    def ask(batches):
+        for batch in batches:
+            forms = [[f for f in pair_words(a, b) if f and f.lower() not in shared.value] for a, b in zip(batch.column("last_cut").to_pylist(), batch.column("next_first").to_pylist())]
+            left = batch.select(["paper_id", "page_number"])
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(forms, pa.list_(pa.string()))], ["paper_id", "page_number", "form"])
+
     def run(batches):
-        speller = Speller(shared.value)
+        speller = Speller(dict(shared.value))
         for batch in batches:
-            keep = [speller.joins(a, b) for a, b in zip(batch.column("last_cut").to_pylist(), batch.column("next_first").to_pylist())]
+            keep = []
+            for a, b, more in zip(*[batch.column(n).to_pylist() for n in ("last_cut", "next_first", "more")]):
+                speller.add(more)
+                keep.append(speller.joins(a, b))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     joined = ends.join(starts, ["paper_id", "page_number"]).select("paper_id", "page_number", "scanned", "last_line", "last_cut", "next_first")
+    if tail is None:
+        joined = joined.withColumn("more", F.lit(None).cast(MORE))
+    else:
+        asked = joined.mapInArrow(ask, "paper_id string, page_number int, form array<string>").withColumn("form", F.explode("form"))
+        joined = joined.join(rare_counts(asked, tail, counts), ["paper_id", "page_number"], "left")
     return joined.mapInArrow(run, joined.schema)
 
 
-def scan_noise(ocr: DataFrame, papers: DataFrame, repaired: DataFrame) -> DataFrame:
+def scan_noise(ocr: DataFrame, papers: DataFrame, repaired: DataFrame, bound: int = 200_000) -> DataFrame:
     """(paper_id, page_number, line_no, kind) of every scanned page: ``hyphen``,
     ``misread``, ``header``, ``page_number``; lines count from 1, blank ones
-    too.  A repeated page counts once."""
+    too.  A repeated page counts once.  ``bound`` words are sent to all tasks."""
     pages = cut(prepare(ocr, papers), "scan-pages")
-    counts = lexicon(pages.where("scanned"))
+    counts, tail = lexicon(pages.where("scanned"), bound=bound)
     model = learn(pages, repaired)
-    read = cut(read_pages(pages, model, counts).drop("body"), "scan-read")
+    read = cut(read_pages(pages, model, counts, tail).drop("body", "more"), "scan-read")
     scanned = read.where("scanned")
     label = scanned.select("paper_id", "page_number", F.posexplode(F.split("labels", "")).alias("at", "s")).where("s in ('H', 'N')").select("paper_id", "page_number", (F.col("at") + 1).alias("line_no"), F.when(F.col("s") == "H", "header").otherwise("page_number").alias("kind"))
     of = lambda column, kind: scanned.select("paper_id", "page_number", F.explode(column).alias("at")).select("paper_id", "page_number", (F.col("at") + 1).alias("line_no"), F.lit(kind).alias("kind"))
-    over = across_pages(read, counts).where("scanned").select("paper_id", "page_number", (F.col("last_line") + 1).alias("line_no"), F.lit("hyphen").alias("kind"))
+    over = across_pages(read, counts, tail).where("scanned").select("paper_id", "page_number", (F.col("last_line") + 1).alias("line_no"), F.lit("hyphen").alias("kind"))
     return label.unionByName(of("joined", "hyphen")).unionByName(of("misread", "misread")).unionByName(over)
 
 
@@ -548,7 +719,7 @@ def paragraphs(body: list[str], counts: Speller, skip_first: bool, tail: str | N
 
 def _mend(token: str, counts: Speller) -> str:
     core = token.strip(OUTER)
-    if not core or counts.counts.get(core, 0) >= 1000:
+    if not core:
         return token
     fixed = counts.fix(core)
     if not fixed:
@@ -558,23 +729,27 @@ def _mend(token: str, counts: Speller) -> str:
     return token.replace(core, fixed, 1)
 
 
-def repair(ocr: DataFrame, papers: DataFrame, repaired: DataFrame) -> DataFrame:
-    """(paper_id, page_number, repaired_text) of every scanned page."""
+def repair(ocr: DataFrame, papers: DataFrame, repaired: DataFrame, bound: int = 200_000) -> DataFrame:
+    """(paper_id, page_number, repaired_text) of every scanned page.
+    ``bound`` words are sent to all tasks."""
     pages = cut(prepare(ocr, papers), "scan-pages")
-    counts = lexicon(pages.where("scanned"))
+    counts, tail = lexicon(pages.where("scanned"), bound=bound)
     model = learn(pages, repaired)
-    read = cut(read_pages(pages, model, counts, with_body=True), "scan-read")
-    over = across_pages(read, counts)
-    gives = over.select("paper_id", "page_number", F.col("next_first").alias("tail"))
+    read = cut(read_pages(pages, model, counts, tail, with_body=True), "scan-read")
+    over = across_pages(read, counts, tail)
+    gives = over.select("paper_id", "page_number", F.col("next_first").alias("tail"), F.col("more").alias("over"))
     takes = over.select("paper_id", (F.col("page_number") + 1).alias("page_number"), F.lit(True).alias("skip_first"))
     shared = read.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        speller = Speller(shared.value)
+        speller = Speller(dict(shared.value))
         for batch in batches:
-            text = [paragraphs(b or [], speller, bool(s), t) for b, s, t in zip(batch.column("body").to_pylist(), batch.column("skip_first").to_pylist(), batch.column("tail").to_pylist())]
+            text = []
+            for b, s, t, more, over in zip(*[batch.column(n).to_pylist() for n in ("body", "skip_first", "tail", "more", "over")]):
+                speller.add((more or []) + (over or []))
+                text.append(paragraphs(b or [], speller, bool(s), t))
             left = batch.select(["paper_id", "page_number"])
             yield pa.RecordBatch.from_arrays([*left.columns, pa.array(text, pa.string())], ["paper_id", "page_number", "repaired_text"])
 
-    rows = read.where("scanned").select("paper_id", "page_number", "body").join(gives, ["paper_id", "page_number"], "left").join(takes, ["paper_id", "page_number"], "left")
+    rows = read.where("scanned").select("paper_id", "page_number", "body", "more").join(gives, ["paper_id", "page_number"], "left").join(takes, ["paper_id", "page_number"], "left")
     return rows.mapInArrow(run, "paper_id string, page_number int, repaired_text string")
