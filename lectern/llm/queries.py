@@ -18,12 +18,14 @@ def p1_neighbours(spark, d):
     return neighbours.most_similar(neighbours.project_vectors(table(spark, d, "vector_store")), degree=16, width=64, expand=6, walk_dims=None, probes=3)
 
 
-def _overlaps(spark, d):
-    return overlap.cross_split_overlaps(overlap.project_records(spread_table(spark, d, "qa_selective_response_v2", "case_id", "split", "question"), spread_table(spark, d, "finder_proxy_profiles_v2", "profile_id", "split", "interests")))
+def _overlaps(spark, d, rest=True):
+    return overlap.cross_split_overlaps(overlap.project_records(spread_table(spark, d, "qa_selective_response_v2", "case_id", "split", "question"), spread_table(spark, d, "finder_proxy_profiles_v2", "profile_id", "split", "interests")), rest=rest)
 
 
 def p2_found(spark, d):
-    return _overlaps(spark, d).select(F.col("src").alias("src_table"), F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
+    """By content-defined chunks alone; the two queries below also join the words
+    that make them whole for any order of words."""
+    return _overlaps(spark, d, rest=False).select(F.col("src").alias("src_table"), F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
 
 
 def p2_overlaps(spark, d):

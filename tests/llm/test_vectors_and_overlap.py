@@ -117,18 +117,62 @@ def test_hot_copies_expand_to_all_pairs(spark):
     assert overlap.cross_split_overlaps(df.limit(0)).count() == 0
 
 
-def test_chunks_partition_the_line():
-    line = [5, 9, 12, 4, 8, 3, 7, 16]
-    parts = overlap.chunks(line, 3)
-    assert sum(parts.values()) == len(line) and all(parts[w] == 1 for w in line[:3])
-    changed = overlap.chunks([5, 9, 12, 4, 8, 3, 7, 99], 3)
-    assert sum(n for c, n in parts.items() if c in changed) >= 5
+LINE = overlap.normalise("Which throughput measured parish registers across Pulanomoks and Moregevurn after 2332 samples, and what was reported for Kizivukult versus Fegopotam?")
+
+
+def test_chunks_partition_the_text():
+    for seed in overlap.SEEDS:
+        parts = overlap.chunks(LINE, seeds=(seed,))
+        assert [s for _, s, _ in parts] == [0] + [e for _, _, e in parts][:-1] and parts[-1][2] == len(LINE)
+        assert 1 < len(parts) < len(LINE.split())
+    assert overlap.chunks("") == [] and overlap.normalise(None) == "" == overlap.normalise("one two", 3)
+
+
+def test_an_edit_moves_no_cut_outside_the_window():
+    words_ = LINE.split()
+    for i in range(len(words_)):
+        other = " ".join([*words_[:i], "unlikely", *words_[i + 1 :]]) + " "
+        at, shift = len(" ".join(words_[:i])) + (i > 0), len("unlikely") - len(words_[i])
+        for seed in overlap.SEEDS:
+            mine, theirs = ({e for _, _, e in overlap.chunks(x, seeds=(seed,))} for x in (LINE, other))
+            after = at + len(words_[i]) + overlap.WINDOW
+            assert {e for e in mine if e <= at} == {e for e in theirs if e <= at}
+            assert {e + shift for e in mine if e > after} == {e for e in theirs if e > after + shift}
+
+
+def test_copies_with_edits_are_found_by_chunks_alone(spark):
+    """The dealt method without the finest scale: edits in place, order kept."""
+    random = np.random.default_rng(9)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    name = lambda: "".join(random.choice(syllables, 4))
+    rows = []
+    for i in range(150):
+        base = [f"what share of {random.integers(100, 9999)}", name(), "notices at", name(), "passed", name(), "checks and how did", name(), "justify clustering against", name()]
+        base = " ".join(base).split()
+        rows.append(("t", f"a{i}", "train", " ".join(base)))
+        other = list(base)
+        for at in random.choice(len(base), random.integers(0, 3), replace=False):
+            other[at] = name()
+        rows.append(("t", f"b{i}", "dev", " ".join(other).title()))
+    df = spark.createDataFrame(rows, "src string, id string, split string, text string")
+    got = {(r.src, r.train_id, r.other_id) for r in overlap.cross_split_overlaps(df, rest=False).collect()}
+    want = brute(rows)
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
+
+
+def test_fractions_are_shared_chunk_lengths(spark):
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([("t", "a", "train", a), ("t", "b", "dev", b)], "src string, id string, split string, text string")
+    (r,) = overlap.cross_split_overlaps(df).collect()
+    both = sum(e - s for d, s, e in overlap.chunks(a + " ") if d in {x for x, _, _ in overlap.chunks(b + " ")})
+    assert r.shared_chars == both and r.overlap_a == both / (2 * len(a + " ")) and r.overlap_b == both / (2 * len(b + " "))
 
 
 @pytest.mark.parametrize("n", range(1, 40))
-def test_head_sizes_cover_any_allowed_overlap(n):
-    small, large = overlap.heads(n, 0.7)
-    assert 1 <= small <= large <= n
+def test_joined_words_cover_any_allowed_overlap(n):
+    text = " ".join(f"w{i}" for i in range(n)) + " "
+    joined = len(overlap.first_chunks(text, {}, 1.1, rest=0.7))
+    assert joined == n - int(np.ceil(0.7 * n - 1e-9)) + 1
 
 
 def test_accents_and_compatibility_forms_are_folded(spark):
