@@ -72,11 +72,14 @@ def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is
-    made; it is set for the session and removed when the process ends.
+    Only a local session (tests, one machine) may lack the setting: a temporary
+    folder is then made, set for the session, and removed when the process ends.
+    On a cluster a folder of one machine would lose data, so the lack is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -96,14 +99,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`cut` once nobody needs them."""
-    spark = df.sparkSession
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if os.path.basename(folder).rpartition("-")[2].isalnum() and shared_folder(spark).rstrip("/").removeprefix("file://").removeprefix("file:") in folder:
-            jvm = spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Remove the files behind tables made by :func:`cut` once nobody needs them."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_cut_path", None)
+        if path is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
