@@ -2,8 +2,9 @@
 
 Records hang on keys (a paper, a constraint pair); keys are tied by edges (a
 paper and its authors, a pair and its paper).  The connected components of the
-key graph are kept as a persisted table of (node, root).  New edges are first
-lifted to the roots that the table already has, so a later batch only touches
+key graph are a table of (node, root) that is kept in a :class:`Store`, one
+numbered version a run, beside the splits of the components.  New edges are first
+lifted to the roots that the latest version has, so a later batch only touches
 what it merges.  Merges are found by hooking every node to its smallest
 neighbour and jumping pointers; the graph contracts each round until no edge is
 left.  Splits live on components: an existing component keeps its split, a new
@@ -15,11 +16,13 @@ Nodes are 64-bit hashes of their keys; :func:`node_table` fails on a collision.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.words import folded_words
-from lectern.session import cut
+from lectern.session import cut, drop_cut, new_path
 
 #: Entries of author lists that name no person, as folded words.
 NO_PERSON = (
@@ -43,27 +46,89 @@ def node(kind: str, key) -> F.Column:
     return F.xxhash64(F.lit(kind), key)
 
 
-def contract(edges: DataFrame, jumps: int = 3) -> DataFrame | None:
+class Store:
+    """Versions of tables in a folder that all executors share.
+
+    A version is a folder ``v0000007`` that holds its tables; it counts once the
+    file ``COMPLETE`` stands in it, which is made last, so a run that dies
+    leaves the version before as the latest.  Versions are never rewritten.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *parts: path("/".join([self.folder, *parts]))
+        self._files = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        if not self._files.exists(self._path()):
+            return []
+        names = [str(x.getPath().getName()) for x in self._files.listStatus(self._path())]
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d{7}", n) and self._files.exists(self._path(n, "COMPLETE")))
+
+    def save(self, **tables: DataFrame | None) -> int:
+        """Write the tables as a new version; its number.  Null is an absent table."""
+        number = max(self.versions(), default=0) + 1
+        for name, df in tables.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{self.folder}/v{number:07d}/{name}")
+        self._files.mkdirs(self._path(f"v{number:07d}"))
+        self._files.create(self._path(f"v{number:07d}", "COMPLETE")).close()
+        return number
+
+    def load(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table of a version, by default of the latest; null if there is none."""
+        version = max(self.versions(), default=0) if version is None else version
+        if version and version not in self.versions():
+            raise ValueError(f"no version {version} in {self.folder}")
+        if not version or not self._files.exists(self._path(f"v{version:07d}", name)):
+            return None
+        return self.spark.read.parquet(f"{self.folder}/v{version:07d}/{name}")
+
+
+def contract(edges: DataFrame, jumps: int = 1) -> DataFrame | None:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest
     node of its component.  Null and loop edges tie nothing; repeats are free.
 
-    Each round writes two small tables into the shared folder.  A round maps
-    every node to an ancestor and keeps only edges between different
-    ancestors, so the edges shrink fast; ``jumps`` is the number of pointer
-    jumps a round.
+    Each round hooks every node to its first neighbour in the order of a hash, jumps ``jumps`` pointers, and keeps only edges between different
+    ancestors.  The order by hash keeps pointers short, whatever the numbers of
+    the nodes, so that a round leaves a fraction of the nodes even of a long
+    path.  The two small tables of a round are written, and what the round
+    before wrote is removed.
     """
-    left = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    total = None
+    left = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
+    parents = []
+    drawn = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("x"))
     while not left.isEmpty():
-        both = left.union(left.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+        both = left.select("a", "b").union(left.select("b", "a"))
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("m")).select("node", F.least(drawn("node"), "m")["x"].alias("root"))
+        parent = up
         for _ in range(jumps):
-            up = parent.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-            parent = parent.join(up, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
-        parent = cut(parent, "parents")
-        left = relabel(left, parent)
-        left = cut(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        total = parent if total is None else follow(total, parent)
+            parent = follow(parent, up)
+        parents.append(cut(parent, "parents"))
+        old, left = left, cut(relabel(left, parents[-1]).where("a <> b").select("a", "b"), "edges")
+        drop_cut(old)
+        if len(parents) == 8:
+            parents = [_chain(parents)]
+    drop_cut(left)
+    if not parents:
+        return None
+    total = _chain(parents)
+    least = total.groupBy("root").agg(F.min("node").alias("least"))
+    out = cut(total.join(least, "root").select("node", F.col("least").alias("root")), "roots")
+    drop_cut(total)
+    return out
+
+
+def _chain(parents: list[DataFrame]) -> DataFrame:
+    """The tables of rounds, first to last, as one."""
+    if len(parents) == 1:
+        return parents[0]
+    total = parents[0]
+    for newer in parents[1:]:
+        total = follow(total, newer)
+    total = cut(total, "roots")
+    drop_cut(*parents)
     return total
 
 
@@ -89,12 +154,14 @@ def update_components(known: DataFrame | None, edges: DataFrame) -> DataFrame |
     """
     if known is None:
         return contract(edges)
-    lifted = relabel(edges.where("a is not null and b is not null"), known)
-    merges = contract(lifted)
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct()
+    edges = cut(edges.where("a is not null and b is not null"), "new-edges")
+    merges = contract(relabel(edges, known))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     fresh = ends.join(known, "node", "left_anti").select("node", F.col("node").alias("root"))
     every = known.select("node", "root").unionByName(fresh)
-    return cut(every if merges is None else follow(every, merges), "components")
+    out = cut(every if merges is None else follow(every, merges), "components")
+    drop_cut(edges, *([] if merges is None else [merges]))
+    return out
 
 
 def assign_splits(sizes: DataFrame, targets: DataFrame, prior: DataFrame | None = None, buckets: int = 1024) -> DataFrame:
@@ -179,41 +246,47 @@ def record_keys(questions: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def key_edges(records: DataFrame, papers: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes and the key behind ``a`` where it is a paper."""
-    pairs = records.where("pair is not null and paper is not null").select("paper", "pair").distinct().select(F.col("paper").alias("key"), node("paper", F.col("paper")).alias("a"), node("pair", F.col("pair")).alias("b"))
+    """Edges (a, b) from papers to the constraint pairs and authors that tie them."""
+    pairs = records.where("pair is not null and paper is not null").select(node("paper", F.col("paper")).alias("a"), node("pair", F.col("pair")).alias("b"))
     named = papers.select(_clean("paper_id").alias("paper"), F.explode(F.array_distinct("authors")).alias("name")).where("paper is not null and name is not null").distinct()
-    authors = named.withColumn("person", person_key(F.col("name"))).where("person is not null").select(F.col("paper").alias("key"), node("paper", F.col("paper")).alias("a"), node("author", F.col("person")).alias("b"))
+    authors = named.withColumn("person", person_key(F.col("name"))).where("person is not null").select(node("paper", F.col("paper")).alias("a"), node("author", F.col("person")).alias("b"))
     return pairs.unionByName(authors)
 
 
-def node_table(records: DataFrame, papers: DataFrame) -> DataFrame:
-    """(node, key) of every paper that a record or ``papers`` names."""
-    keys = records.select("paper").union(papers.select(_clean("paper_id"))).where("paper is not null").distinct()
-    nodes = keys.groupBy(node("paper", F.col("paper")).alias("node")).agg(F.min("paper").alias("key"), F.count("*").alias("n"))
-    return nodes.select("node", F.when(F.col("n") == 1, F.col("key")).otherwise(F.raise_error(F.lit("two papers share a hash")).cast("string")).alias("key"))
-
-
-def record_groups(records: DataFrame, papers: DataFrame, components: DataFrame | None, nodes: DataFrame) -> DataFrame:
+def record_groups(records: DataFrame, papers: DataFrame, components: DataFrame | None) -> DataFrame:
     """(src_table, record_id, root, group_key): group_key is the smallest paper
-    of the group, null where the group has none."""
-    spark = records.sparkSession
-    if components is None:
-        components = spark.createDataFrame([], "node long, root long")
-    rooted = nodes.join(components, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    group = rooted.groupBy("root").agg(F.min("key").alias("group_key"))
-    of = components.join(nodes.select("node"), "node", "left_anti").join(group, "root").select("node", "root", "group_key")
-    of = rooted.join(group, "root").select("node", "root", "group_key").unionByName(of)
+    of the group, null where the group has none.  Two papers of one hash fail."""
+    paper, pair = F.col("paper"), F.col("pair")
     # a record hangs on its paper, else on its pair
-    by = records.withColumn("node", F.coalesce(F.when(F.col("paper").isNotNull(), node("paper", F.col("paper"))), F.when(F.col("pair").isNotNull(), node("pair", F.col("pair")))))
-    return by.join(of, "node", "left").select("src_table", "record_id", F.coalesce("root", "node").alias("root"), "group_key")
+    hangs = F.when(paper.isNotNull(), node("paper", paper)).when(pair.isNotNull(), node("pair", pair))
+    by = records.withColumn("node", hangs)
+    listed = papers.select(_clean("paper_id").alias("paper")).where("paper is not null").select(node("paper", paper).alias("node"), "paper")
+    least, most = F.min("paper"), F.max("paper")
+    keys = by.select("node", "paper").where("node is not null").unionByName(listed).groupBy("node").agg(F.when(least == most, least).when(least.isNotNull(), F.raise_error(F.lit("two papers share a hash")).cast("string")).alias("key"))
+    rooted = keys.withColumn("root", F.col("node")) if components is None else keys.join(components, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    group = rooted.groupBy("root").agg(F.min("key").alias("group_key"))
+    of = rooted.select("node", "root").join(group, "root")
+    return by.join(of, "node", "left").select("src_table", "record_id", "root", "group_key")
 
 
 def records_with_groups(questions: DataFrame, profiles: DataFrame, papers: DataFrame, known: DataFrame | None = None):
-    """The records with their groups, and the component table behind them."""
+    """The records with their groups, and the component table behind them;
+    ``known`` is the component table of an earlier run."""
     records = cut(record_keys(questions, profiles), "records")
     papers = papers.select("paper_id", "authors")
-    components = update_components(known, key_edges(records, papers).select("a", "b"))
-    return record_groups(records, papers, components, node_table(records, papers)), components
+    components = update_components(known, key_edges(records, papers))
+    return record_groups(records, papers, components), components
+
+
+def update_groups(store: Store, questions: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFrame:
+    """The records with their groups after a run over the latest components of
+    ``store``, which are saved as its next version."""
+    records = cut(record_keys(questions, profiles), "records")
+    components = update_components(store.load("components"), key_edges(records, papers.select("paper_id", "authors")))
+    number = store.save(components=components)
+    if components is not None:
+        drop_cut(components)
+    return record_groups(records, papers.select("paper_id"), store.load("components", number))
 
 
 def _alone(groups: DataFrame) -> DataFrame:
@@ -221,29 +294,39 @@ def _alone(groups: DataFrame) -> DataFrame:
     return groups.withColumn("root", F.coalesce("root", F.xxhash64(F.lit("record"), "src_table", "record_id")))
 
 
-def splits(questions: DataFrame, profiles: DataFrame, papers: DataFrame, targets: DataFrame) -> DataFrame:
-    """(src_table, record_id, split, status) of all records, placed anew."""
-    groups, _ = records_with_groups(questions, profiles, papers)
+def update_splits(store: Store, questions: DataFrame, profiles: DataFrame, papers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src_table, record_id, split, status) after a run over what ``store`` has:
+    components that had a split keep it, new ones fill the deficits, and those
+    that the run merged from different splits are quarantined.
+
+    The run becomes the next version of ``store``, with the splits of its
+    components.  Records that hang on nothing are components of their own.
+    """
+    before = store.load("splits")
+    groups, components = records_with_groups(questions, profiles, papers, store.load("components"))
     groups = cut(_alone(groups), "groups")
-    final = assign_splits(groups.groupBy("root").agg(F.count("*").alias("records")), targets)
-    return groups.join(final, "root").select("src_table", "record_id", "split", "status")
+    prior = None
+    if before is not None:
+        prior = before.where("split is not null").select("root", "split")
+        if components is not None:
+            prior = prior.join(components.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(F.coalesce("to", "root").alias("root"), "split")
+    final = assign_splits(groups.groupBy("root").agg(F.count("*").alias("records")), targets, prior)
+    number = store.save(components=components, splits=final)
+    return groups.join(store.load("splits", number), "root").select("src_table", "record_id", "split", "status")
 
 
-def incremental_splits(questions: DataFrame, profiles: DataFrame, papers: DataFrame, targets: DataFrame, until: str) -> DataFrame:
-    """Splits of all records in two runs: first what was created before
-    ``until``, then the rest on top of the persisted tables of the first run.
+def splits(questions: DataFrame, profiles: DataFrame, papers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src_table, record_id, split, status) of all records, placed anew: a
+    first run over an empty store."""
+    store = Store(questions.sparkSession, new_path(questions.sparkSession, "split-store"))
+    return update_splits(store, questions, profiles, papers, targets)
 
-    Returns (src_table, record_id, split, status).  Records whose keys tie them
-    to nothing are components of their own.
-    """
+
+def incremental_splits(questions: DataFrame, profiles: DataFrame, papers: DataFrame, targets: DataFrame, until: str, folder: str | None = None) -> DataFrame:
+    """Splits of all records in two runs: first what was created before
+    ``until``, then the rest on top of what the first run left in the store."""
+    spark = questions.sparkSession
+    folder = folder or new_path(spark, "split-store")
     early = lambda t: t.where(F.col("created_at") < F.lit(until).cast("timestamp_ntz"))
-    first, known = records_with_groups(early(questions), early(profiles), early(papers))
-    first = cut(_alone(first), "groups")
-    before = cut(assign_splits(first.groupBy("root").agg(F.count("*").alias("records")), targets), "splits")
-    second, now = records_with_groups(questions, profiles, papers, known)
-    second = cut(_alone(second), "groups")
-    prior = before.where("split is not null").select("root", "split")
-    if now is not None:
-        prior = prior.join(now.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(F.coalesce("to", "root").alias("root"), "split")
-    final = assign_splits(second.groupBy("root").agg(F.count("*").alias("records")), targets, prior)
-    return second.join(final, "root").select("src_table", "record_id", "split", "status")
+    update_splits(Store(spark, folder), early(questions), early(profiles), early(papers), targets)
+    return update_splits(Store(spark, folder), questions, profiles, papers, targets)

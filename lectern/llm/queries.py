@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import tidy
 from lectern.llm import components, cutting, encoding, mixing, neighbours, overlap, quality, scans
-from lectern.session import spread_table, table
+from lectern.session import new_path, spread_table, table
 
 
 def p1_found(spark, d):
@@ -41,8 +41,8 @@ def _grouping(spark, d):
 
 
 def p3_found(spark, d):
-    groups, _ = components.records_with_groups(*_grouping(spark, d))
-    return groups.where("group_key is not null").select("record_id", "group_key")
+    store = components.Store(spark, new_path(spark, "component-store"))
+    return components.update_groups(store, *_grouping(spark, d)).where("group_key is not null").select("record_id", "group_key")
 
 
 def p3_splits(spark, d):
@@ -50,7 +50,7 @@ def p3_splits(spark, d):
 
 
 def p3_incremental(spark, d):
-    """The same in two runs: what was created before July 2025, then the rest."""
+    """The same in two runs over one store: what was created before July 2025, then the rest."""
     return components.incremental_splits(*_grouping(spark, d), table(spark, d, "split_targets"), "2025-07-01")
 
 

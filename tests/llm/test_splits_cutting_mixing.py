@@ -62,6 +62,31 @@ def test_groups_by_paper_pair_and_author(spark):
     assert got == {"q1": "p1", "q2": "p3", "q3": "zz", "q4": None, "q5": "p9", "f1": "p9", "f2": "p9", "f3": None, "f4": None}
 
 
+def test_versions_outlive_the_session(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    q1 = spark.createDataFrame([("q1", "p1", None, None, None, None, None), ("q2", "p2", None, None, None, None, None)], QUESTION)
+    none = spark.createDataFrame([], PROFILE)
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    first = {r.record_id: r.split for r in components.update_splits(components.Store(spark, folder), q1, none, papers(spark, [("p1", ["A B"]), ("p2", ["C D"])]), targets).collect()}
+    assert sorted(first.values()) == ["test", "train"]
+    # another session knows nothing but the folder
+    other = spark.newSession()
+    store = components.Store(other, folder)
+    assert store.versions() == [1] and store.load("components").sparkSession is other
+    move = lambda df: other.createDataFrame(df.collect(), df.schema)
+    q2 = q1.union(spark.createDataFrame([("q3", "p3", None, None, None, None, None)], QUESTION))
+    tied = papers(spark, [("p1", ["A B"]), ("p2", ["C D"]), ("p3", ["C D"])])
+    second = {r.record_id: (r.split, r.status) for r in components.update_splits(store, move(q2), move(none), move(tied), move(targets)).collect()}
+    assert second == {"q1": (first["q1"], "kept"), "q2": (first["q2"], "kept"), "q3": (first["q2"], "kept")}
+    merged = papers(spark, [("p1", ["A B"]), ("p2", ["C D", "A B"]), ("p3", ["C D"])])
+    third = components.update_splits(store, move(q2), move(none), move(merged), move(targets)).collect()
+    assert {(r.split, r.status) for r in third} == {(None, "quarantined")} and store.versions() == [1, 2, 3]
+    assert {r.split for r in store.load("splits", 1).collect()} == {"test", "train"}
+    # a version that was not finished does not count
+    (tmp_path / "store" / "v0000004").mkdir()
+    assert store.versions() == [1, 2, 3]
+
+
 def test_empty_tables(spark):
     q, p = spark.createDataFrame([], QUESTION), spark.createDataFrame([], PROFILE)
     groups, table = components.records_with_groups(q, p, papers(spark, []))
