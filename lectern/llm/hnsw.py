@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 
 NEVER = np.float32(-np.inf)
+#: Nodes that a descent hands to the level below.
+ENTRIES = 3
 
 
 @dataclass
@@ -137,7 +139,8 @@ def _link_back(points, links, slot, new, chosen, degree):
     source, target = source[keep], target[keep]
     if not len(source):
         return
-    order = np.argsort(target, kind="stable")
+    # nearest first, so that what does not fit below is the farthest
+    order = np.lexsort((-np.einsum("ij,ij->i", points[source], points[target]), target))
     source, target = source[order], target[order]
     nodes, first, count = np.unique(target, return_index=True, return_counts=True)
     rank = np.arange(len(target)) - np.repeat(first, count)
@@ -158,11 +161,12 @@ def _link_back(points, links, slot, new, chosen, degree):
         links[slot[of]] = _choose(points, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), degree)
 
 
-def _batches(n: int, small: int):
-    """Insert batches: they double until they are a sixteenth of all."""
+def _batches(n: int, small: int, above: int):
+    """Insert batches: they double until they are a sixth of all; none has nodes
+    on both sides of ``above``."""
     at = 0
     while at < n:
-        step = min(max(small, min(at, n // 6)), n - at)
+        step = min(max(small, min(at, n // 6)), (above if at < above else n) - at)
         yield at, at + step
         at += step
 
@@ -176,7 +180,9 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
     n = len(points)
     random = np.random.default_rng(seed)
     tall = np.minimum((-np.log(1 - random.random(n)) / np.log(max(2, degree))).astype(int), 6) if n else np.zeros(0, int)
+    # tall nodes first, so that a level begins with the nodes of the level above
     order = random.permutation(n)
+    order = order[np.argsort(-tall[order], kind="stable")]
     top = int(tall.max()) if n else 0
     levels, slots = [], []
     for level in range(top + 1):
@@ -185,9 +191,12 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
         slot[ids] = np.arange(len(ids), dtype=np.int32)
         levels.append((ids, np.full((len(ids), degree * (2 if level == 0 else 1)), -1, dtype=np.int32)))
         slots.append(slot)
-    for level, (ids, links) in enumerate(levels):
-        room = links.shape[1]
-        for lo, hi in _batches(len(ids), 64):
+    # where the search of a node enters the level below, from the top down
+    entry = np.full((n, ENTRIES), -1, dtype=np.int32)
+    for level in range(top, -1, -1):
+        ids, links = levels[level]
+        room, above = links.shape[1], len(levels[level + 1][0]) if level < top else 0
+        for lo, hi in _batches(len(ids), 64, above):
             new = ids[lo:hi]
             mine = points[new] @ points[new].T
             np.fill_diagonal(mine, NEVER)
@@ -195,10 +204,10 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
             near = np.argpartition(-mine, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(new), 0), int)
             cand, sims = new[near].astype(np.int32), np.take_along_axis(mine, near, 1) if k > 0 else np.zeros((len(new), 0), np.float32)
             if lo:
-                # entries: a fixed handful of nodes inserted before, best first
-                entry = ids[np.linspace(0, lo - 1, min(lo, 16)).astype(int)]
-                start = np.tile(entry.astype(np.int32), (len(new), 1))
-                start_sim = points[new] @ points[entry].T
+                # nodes of the level above come first and have no entry from there: they
+                # start at a handful of nodes inserted before
+                start = entry[new] if lo >= above > 0 else np.tile(ids[np.linspace(0, lo - 1, min(lo, 16)).astype(int)].astype(np.int32), (len(new), 1))
+                start_sim = np.where(start >= 0, np.einsum("ijk,ik->ij", points[start], points[new]), NEVER)
                 found, found_sims = _beam(points, points[new], links, slots[level], start, start_sim, width, expand)
                 cand, sims = np.concatenate([found, cand], 1), np.concatenate([found_sims, sims], 1)
             best = np.argsort(-sims, axis=1, kind="stable")[:, : max(width, 1)]
@@ -207,6 +216,13 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
             chosen = _choose(points, cand, sims, degree) if cand.shape[1] else np.full((len(new), degree), -1, np.int32)
             links[slots[level][new], :degree] = chosen
             _link_back(points, links, slots[level], new, chosen, room)
+        # all nodes that are not of this level descend through it
+        rest = order[len(ids) :] if level else order[:0]
+        for lo in range(0, len(rest), 512):
+            new = rest[lo : lo + 512]
+            start = entry[new] if level < top else np.full((len(new), 1), ids[0], dtype=np.int32)
+            start_sim = np.where(start >= 0, np.einsum("ijk,ik->ij", points[start], points[new]), NEVER)
+            entry[new] = _beam(points, points[new], links, slots[level], start, start_sim, ENTRIES, 2)[0]
     return Graph(points, levels, slots, int(levels[-1][0][0]) if n else -1)
 
 

@@ -1,12 +1,17 @@
 """Problem 1: the most similar vectors for every vector.
 
 Vectors are routed to shards by the nearest of a set of centroids that is
-fitted on a bounded sample; a shard is indexed by a hierarchical navigable
+fitted on bounded samples; a shard is indexed by a hierarchical navigable
 small-world graph in flat neighbour arrays (:mod:`lectern.llm.hnsw`), built and
 searched where the shard lies.  A vector is stored in the shard of its nearest
 centroid and also asked of the shards of the next nearest; the answers of all
-shards are merged by a window over each vector's candidates.  Equal vectors are
-kept as one node with its ids.
+shards are merged by a window over each vector's candidates.
+
+No task holds an unbounded shard.  A cell with too many vectors is divided by
+centroids of its own; vectors asked of a shard that many cells border on are
+dealt out to blocks, each with its copy of the shard.  Ids of equal vectors are
+one class: only its smallest id is routed, and the answers are expanded to the
+others by joins at the end.
 """
 
 from __future__ import annotations
@@ -17,15 +22,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import hnsw
-from lectern.session import cut
+from lectern.session import cut, drop_cut
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(id, dim, vector) of rows with an id whose vector is not null, has exactly
     ``dim`` finite numbers and is not all zero."""
     v = F.col("vector")
-    good = F.col("id").isNotNull() & (F.size(v) == F.col("dim")) & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(good).select("id", "dim", "vector")
+    good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return _sized(vectors).where(good)
+
+
+def _sized(vectors: DataFrame) -> DataFrame:
+    return vectors.where("id is not null and dim > 0 and size(vector) = dim").select("id", "dim", "vector")
+
+
+def _by_dim(batch: pa.RecordBatch):
+    """(dim, rows, vectors) of the usable vectors of a batch of sized ones."""
+    dims, column = np.asarray(batch.column("dim")), batch.column("vector")
+    for dim in np.unique(dims):
+        at = np.nonzero(dims == dim)[0]
+        part = column if len(at) == len(dims) else column.take(pa.array(at))
+        x = np.asarray(part.flatten(), dtype=np.float32).reshape(len(at), int(dim))
+        good = np.isfinite(x).all(1) & (x != 0).any(1)
+        yield int(dim), at[good], x[good]
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -68,98 +88,197 @@ def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float16).reshape(len(packed), dim)
 
 
+def _near(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest centres of each row, best first."""
+    if len(centres) == 1:
+        return np.zeros((len(x), 1), np.int64)
+    sims = hnsw.unit(x) @ centres.T
+    probes = min(probes, len(centres))
+    top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+
+
+HOMES = "id string, dim int, class long, home int, guest int"
+
+
+def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
+    """(id, dim, class, home, guest) of usable vectors: the hash of the vector,
+    the cell of its nearest centre and that of the next, of which it is asked (-1: none)."""
+    shared = rows.sparkSession.sparkContext.broadcast((centres, probes))
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            ids = batch.column("id")
+            for dim, at, x in _by_dim(batch):
+                if dim in shared.value[0]:
+                    near = _near(x, shared.value[0][dim], shared.value[1])
+                    hashed = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in x]
+                    guest = near[:, 1].astype(np.int32) if near.shape[1] > 1 else np.full(len(x), -1, np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(hashed, pa.int64()), pa.array(near[:, 0].astype(np.int32)), pa.array(guest)], ["id", "dim", "class", "home", "guest"])
+
+    return rows.mapInArrow(run, HOMES)
+
+
+def _fit(rows: DataFrame, centres: dict[int, np.ndarray], parts: dict[tuple[int, int], tuple[int, float]], sample: int, seed: int) -> dict[int, np.ndarray]:
+    """``centres`` with the cells of ``parts`` ((dim, cell) -> number of parts,
+    share of its rows to look at) replaced by centroids fitted on at most
+    ``sample`` vectors of the cell."""
+    shared = rows.sparkSession.sparkContext.broadcast((centres, parts))
+
+    def pick(batches):
+        import xxhash
+
+        centres, parts = shared.value
+        for batch in batches:
+            ids = batch.column("id")
+            for dim, at, x in _by_dim(batch):
+                if dim not in centres:
+                    continue
+                home = _near(x, centres[dim], 1)[:, 0]
+                keep = [i for i, (h, y) in enumerate(zip(home.tolist(), ids.take(pa.array(at)).to_pylist())) if (dim, h) in parts and xxhash.xxh32_intdigest(y, seed) < parts[dim, h][1] * (1 << 32)]
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(keep), pa.int32()), pa.array(home[keep].astype(np.int32)), pa.array(_pack(x[keep]), pa.binary())], ["dim", "cell", "data"])
+
+    def fit(key, table):
+        dim, cell = key[0].as_py(), key[1].as_py()
+        x = hnsw.unit(_unpack(table.column("data").to_pylist()[:sample], dim))
+        found = fit_centroids(x, shared.value[1][dim, cell][0], seed=seed)
+        return pa.table({"dim": pa.array([dim] * len(found), pa.int32()), "cell": pa.array([cell] * len(found), pa.int32()), "centre": pa.array([r.tobytes() for r in found], pa.binary())})
+
+    got = rows.mapInArrow(pick, "dim int, cell int, data binary").groupBy("dim", "cell").applyInArrow(fit, "dim int, cell int, centre binary").collect()
+    new = {}
+    for dim, old in centres.items():
+        divided = {c for d, c in parts if d == dim} & {r["cell"] for r in got if r["dim"] == dim}
+        kept = [old[c] for c in range(len(old)) if c not in divided]
+        new[dim] = np.stack(kept + [np.frombuffer(r["centre"], np.float32) for r in got if r["dim"] == dim]).astype(np.float32)
+    return new
+
+
 def most_similar(
-    vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 2048, probes: int = 2, sample: int = 8192,
-    degree: int = 6, width: int = 12, expand: int = 4, walk_dims: int | None = 64, seed: int = 5,
+    vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 16_384, probes: int = 2, sample: int = 8192,
+    degree: int = 6, width: int = 12, expand: int = 4, walk_dims: int | None = 64, few: int = 100_000, seed: int = 5,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other ids of each.
 
     ``vectors`` is (id, dim, vector); only vectors of equal ``dim`` are
     compared.  Unusable rows (see :func:`usable`) take no part, repeats of an id
     count once.  Ties of cosine go to the smaller id.  ``min_cosine`` drops
-    answers below it.  The answers are approximate: ``probes`` shards are asked,
-    with a beam of ``width`` over graphs of ``degree``; the graph is walked in
-    ``walk_dims`` random projections (all dimensions if null); the neighbours of
-    what it finds are then ranked by full vectors.  ``sample`` vectors fit the centroids, every vector
-    is indexed.  A shard larger than twice ``shard_rows`` is divided by hash and
-    asked in all its parts, so that no task holds an unbounded shard.
+    answers below it.  Every vector is indexed and asked; ``sample`` vectors fit
+    the centroids of all, and as many those of a cell that is divided.
+
+    The answers are approximate, by these means: two shards are asked
+    (``probes``), with a beam of ``width`` over graphs of ``degree``, walked in
+    ``walk_dims`` random projections (all dimensions if null); what a walk finds
+    is ranked by full vectors in half precision.  The links of what it found are
+    looked at too, but only where its best cosine is within 0.15 of
+    ``min_cosine``; a query further off seldom has an answer above it.
+
+    A shard has ``shard_rows`` vectors on average and at most three times as
+    many; should that ask for more than ``max_cells`` centroids of a size of
+    vectors, which every task gets, shards grow in proportion instead.  A cell
+    whose vectors centroids cannot tell apart is divided by hash, and a vector
+    is then asked in one part of it.  Classes of equal vectors are
+    expanded by a broadcast if at most ``few`` ids are concerned, else by shuffles.
     """
-    spark = vectors.sparkSession
-    good = usable(vectors)
-    sizes = {r[0]: r[1] for r in vectors.where("dim is not null and vector is not null").groupBy("dim").count().collect()}
-    parts = []
-    for dim, n in sorted(sizes.items()):
-        if dim <= 0:
-            continue
-        cells = int(min(max_cells, max(1, round(n / shard_rows))))
-        rows = good.where(F.col("dim") == dim)
-        keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < F.lit(min(1.0, 1.2 * sample / n) * 1_000_000)
-        some = rows.where(keep).select("vector").limit(sample).toArrow().column("vector").combine_chunks() if cells > 1 else None
-        centres = fit_centroids(hnsw.unit(_matrix(some, dim)), cells) if cells > 1 and len(some) else np.zeros((1, dim), np.float32)
-        parts.append(_search_dim(rows.select("id", "vector"), int(dim), centres, n, k, min_cosine, shard_rows, probes, degree, width, expand, walk_dims, seed))
-    if not parts:
-        return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if not 1 <= probes <= 2:
+        raise ValueError("one or two shards are asked")
+    spark, rows = vectors.sparkSession, _sized(vectors)
+    sizes = {int(r[0]): r[1] for r in vectors.where("id is not null and dim > 0").groupBy("dim").count().collect()}
+    target = {d: max(shard_rows, -(-n // max_cells)) for d, n in sizes.items()}
+    first = {(d, 0): (round(n / target[d]), min(1.0, 1.1 * sample / n)) for d, n in sizes.items() if round(n / target[d]) > 1}
+    centres = {d: np.zeros((1, d), np.float32) for d in sizes}
+    if first:
+        centres = _fit(rows, centres, first, sample, seed)
+    for last in (False, False, True):
+        homes = cut(_homes(rows, centres, probes), "vector-homes")
+        fill = {(r[0], r[1]): r[2] for r in homes.groupBy("dim", "home").count().collect()}
+        big = {(d, c): (round(m / target[d]), min(1.0, 1.1 * sample / m)) for (d, c), m in fill.items() if m > 3 * target[d]}
+        if last or not big:
+            break
+        drop_cut(homes)
+        centres = _fit(rows, centres, big, sample, seed)
+
+    members = homes.select("dim", "class", "id").distinct()
+    many = members.groupBy("dim", "class").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(members.join(many, ["dim", "class"]).select("dim", "rep", "id"), "vector-copies")
+    number = copies.count()
+    of = F.broadcast if number <= few else lambda df: df
+    if number:
+        rows = rows.join(of(copies.where("id <> rep").select("id", "dim")), ["id", "dim"], "left_anti").select("id", "dim", "vector")
+    asked = {(r[0], r[1]): r[2] for r in homes.where("guest >= 0").groupBy("dim", "guest").count().collect()}
+    found = _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed)
+    if number:
+        found = _expand(found, copies, of, k)
     # an id asked of several shards: its best answers of all
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return out.repartition("id").dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _search_dim(rows, dim, centres, n, k, min_cosine, shard_rows, probes, degree, width, expand, walk_dims, seed) -> DataFrame:
-    spark = rows.sparkSession
-    probes = min(probes, len(centres))
-    # the part of a cell is drawn by hash among as many as a cell may at most need;
-    # a cell of a third of all rows has a third of all parts
-    shared = spark.sparkContext.broadcast(centres)
-
-    def home_cells(batches):
-        for batch in batches:
-            x = _matrix(batch.column("vector"), dim)
-            yield pa.RecordBatch.from_arrays([pa.array((x @ shared.value.T).argmax(1).astype(np.int32))], ["cell"])
-
-    fill = {r[0]: r[1] for r in rows.select("vector").mapInArrow(home_cells, "cell int").groupBy("cell").count().collect()} if len(centres) > 1 else {0: n}
-    many = {c: max(1, -(-m // (2 * shard_rows))) for c, m in fill.items()}
-    first, shards = {}, 0
-    for c in range(len(centres)):
-        first[c] = shards
-        shards += many.get(c, 1)
+    return found.repartition("id").dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _expand(found: DataFrame, copies: DataFrame, of, k: int) -> DataFrame:
+    """Answers among the smallest ids of classes as answers among all ids:
+    ``copies`` is (dim, rep, id) with every id of a class of two or more.  Of a
+    class that is an answer, its ``k`` + 1 smallest ids can matter."""
+    w = Window.partitionBy("dim", "rep").orderBy("id")
+    some = copies.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).select(F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
+    wide = found.join(of(some), "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
+    others = copies.where("id <> rep").select("rep", F.col("id").alias("copy"))
+    again = wide.join(of(others), wide["id"] == others["rep"]).select(F.col("copy").alias("id"), "neighbour", "cosine")
+    same = copies.select("rep", "id").join(of(some), F.col("rep") == F.col("neighbour")).where("id <> copy").select("id", F.col("copy").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    return wide.unionByName(again).unionByName(same).where("id <> neighbour")
+
+
+def _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed) -> DataFrame:
+    """(id, neighbour, cosine) of all shards' answers.  ``fill`` and ``asked``
+    count the vectors stored in a cell and asked of it from elsewhere."""
+    first, blocks, parts, shards = {}, {}, {}, 0
+    for dim in sorted(centres):
+        for c in range(len(centres[dim])):
+            first[dim, c] = shards
+            parts[dim, c] = -(-fill.get((dim, c), 0) // (3 * target[dim])) or 1
+            blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (3 * target[dim] * parts[dim, c])))
+            shards += parts[dim, c] * blocks[dim, c]
+    shared = rows.sparkSession.sparkContext.broadcast((centres, first, blocks, parts))
 
     def route(batches):
         import xxhash
 
-        c = shared.value
+        centres, first, blocks, parts = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            raw = _matrix(batch.column("vector"), dim)
-            x = hnsw.unit(raw)
             ids = batch.column("id").to_pylist()
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
-            shard, row, own = [], [], []
-            for i, cells in enumerate(near.tolist()):
-                for j, cell in enumerate(cells):
-                    of = many.get(cell, 1)
-                    mine = xxhash.xxh64_intdigest(ids[i]) % of if j == 0 and of > 1 else 0
-                    for p in range(of):
-                        shard.append(first[cell] + p)
+            for dim, at, x in _by_dim(batch):
+                shard, row, own = [], [], []
+                for i, (n, cells) in enumerate(zip(at.tolist(), _near(x, centres[dim], probes).tolist())):
+                    h = xxhash.xxh64_intdigest(ids[n], dim)
+                    if h in seen:
+                        continue
+                    seen.add(h)
+                    home = (dim, cells[0])
+                    part = first[home] + h % parts[home] * blocks[home]
+                    for b in range(blocks[home]):
+                        shard.append(part + b)
                         row.append(i)
-                        own.append(j == 0 and p == mine)
-            take = pa.array(row, pa.int32())
-            data = pa.array(_pack(raw), pa.binary()).take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.bool_()), batch.column("id").take(take), data], ["shard", "own", "id", "data"])
-
-    project = None if walk_dims is None or walk_dims >= dim else np.random.default_rng(seed).standard_normal((dim, walk_dims)).astype(np.float32)
+                        own.append(1 if b else 2)
+                    for c in cells[1:]:
+                        to = (dim, c)
+                        shard.append(first[to] + h % (parts[to] * blocks[to]))
+                        row.append(i)
+                        own.append(0)
+                take = np.asarray(row, np.int64)
+                data = pa.array(_pack(x), pa.binary()).take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([dim] * len(row), pa.int32()), pa.array(own, pa.int8()), batch.column("id").take(pa.array(at[take])), data], ["shard", "dim", "own", "id", "data"])
 
     def search_shard(key, table):
-        if table.num_rows == 0:
-            return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+        dim = table.column("dim")[0].as_py()
         ids = np.asarray(table.column("id").to_pylist(), dtype=object)
-        own = np.asarray(table.column("own"))
-        x = _unpack(table.column("data").to_pylist(), dim)
-        return _answer(ids, own, x, k, min_cosine, degree, width, expand, project)
+        project = None if walk_dims is None or walk_dims >= dim else np.random.default_rng(seed).standard_normal((dim, walk_dims)).astype(np.float32)
+        return _answer(ids, np.asarray(table.column("own")), _unpack(table.column("data").to_pylist(), dim), k, min_cosine, degree, width, expand, project)
 
-    routed = rows.mapInArrow(route, "shard int, own boolean, id string, data binary")
-    return routed.groupBy("shard").applyInArrow(search_shard, "id string, neighbour string, cosine double")
+    routed = rows.mapInArrow(route, "shard int, dim int, own byte, id string, data binary")
+    # about a shard a task, however large the tables are
+    return routed.repartition(max(1, min(shards, 100_000)), "shard").groupBy("shard").applyInArrow(search_shard, "id string, neighbour string, cosine double")
 
 
 def _widen(graph, full, queries, found, cos, least, width):
@@ -190,10 +309,11 @@ def _widen(graph, full, queries, found, cos, least, width):
 
 
 def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Table:
-    """Index the rows stored in the shard, ask it for all rows of the table."""
-    # one node for equal vectors, with its ids in order, repeats of an id once
-    order = np.lexsort((ids.astype(str), ~own))
-    seen, members, node_of, stored = set(), [], {}, []
+    """Index the rows stored in the shard (``own`` is 1 or 2) and ask it for its
+    own rows (2) and those from elsewhere (0)."""
+    # one node for vectors equal in half precision, with its ids in order, repeats of an id once
+    order = np.lexsort((ids.astype(str), own == 0))
+    seen, mine, members, node_of, stored = set(), set(), [], {}, []
     asked: dict = {}
     for i in order:
         if ids[i] in seen:
@@ -201,6 +321,7 @@ def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Ta
         seen.add(ids[i])
         byte = x[i].tobytes()
         if own[i]:
+            mine.add(ids[i]) if own[i] == 2 else None
             if byte not in node_of:
                 node_of[byte] = len(members)
                 members.append([])
@@ -215,10 +336,11 @@ def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Ta
         graph = hnsw.build(walk, degree, width, expand)
         foreign = [b for b in asked if b not in node_of]
         guests = hnsw.unit(np.frombuffer(b"".join(foreign), np.float16).reshape(len(foreign), -1).astype(np.float32)) if foreign else full[:0]
-        near, _ = hnsw.search(graph, walk, width, expand, own=np.arange(len(full)))
+        here = np.asarray([i for i in range(len(full)) if not mine.isdisjoint(members[i]) or x[stored[i]].tobytes() in asked], dtype=np.int64)
+        near, _ = hnsw.search(graph, walk[here], width, expand, own=here)
         far, _ = hnsw.search(graph, guests if project is None else hnsw.unit(guests @ project), width, expand)
-        homes = [(members[i] + asked.get(x[stored[i]].tobytes(), []), members[i]) for i in range(len(full))]
-        for queries, found, who in ((full, near, [h[0] for h in homes]), (guests, far, [asked[b] for b in foreign])):
+        homes = [[y for y in members[i] if y in mine] + asked.get(x[stored[i]].tobytes(), []) for i in here]
+        for queries, found, who in ((full[here], near, homes), (guests, far, [asked[b] for b in foreign])):
             for lo in range(0, len(queries), 1024):
                 f = found[lo : lo + 1024]
                 cos = np.einsum("ijk,ik->ij", full[np.maximum(f, 0)], queries[lo : lo + 1024])
@@ -228,12 +350,12 @@ def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Ta
                 cos, f = np.take_along_axis(cos, best, 1), np.take_along_axis(f, best, 1)
                 count = (cos >= max(min_cosine, -1.5)).sum(1).tolist()
                 for r, m in enumerate(count):
-                    mine = who[lo + r]
-                    if not m or (m == 1 and len(members[f[r, 0]]) == 1 and mine == members[f[r, 0]]):
+                    asking = who[lo + r]
+                    if not m or (m == 1 and len(members[f[r, 0]]) == 1 and asking == members[f[r, 0]]):
                         continue
                     # nodes best first, equal ones by id; at most k + 1 ids of a node matter
                     rank = sorted((-round(float(c), 5), y) for c, node in zip(cos[r, :m], f[r, :m]) for y in members[node][: k + 1])
-                    for q in mine:
+                    for q in asking:
                         got = 0
                         for c, y in rank:
                             if y == q:
@@ -283,6 +405,3 @@ def similar_pairs(vectors: DataFrame, min_cosine: float = 0.65, **parameters) ->
     the most similar of the other; smaller id first."""
     found = most_similar(vectors, min_cosine=min_cosine, **parameters)
     return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
-
-
-__all__ = ["brute_force", "cut", "fit_centroids", "most_similar", "project_vectors", "similar_pairs", "usable"]

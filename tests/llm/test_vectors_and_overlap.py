@@ -64,6 +64,38 @@ def test_hot_copies_and_dirty_vectors(spark):
     assert all(len(v) == 10 and all(abs(c - 1) < 1e-5 for _, _, c in v) for v in got.values())
 
 
+def test_a_vector_repeated_100000_times(spark):
+    """Neither ids of one vector nor repeats of one id gather in a task."""
+    from pyspark.sql import functions as F
+
+    same = F.array(*[F.lit(float(x)).cast("float") for x in (1, 2, 3, 4)])
+    hot = spark.range(100_000).select(F.format_string("c%06d", "id").alias("id"), F.lit(4).alias("dim"), same.alias("vector"))
+    one = spark.range(50_000).select(F.lit("one").alias("id"), F.lit(4).alias("dim"), F.transform(same, lambda x: -x).alias("vector"))
+    random = np.random.default_rng(2)
+    rest = spark.createDataFrame([(f"r{i}", 4, [float(a) for a in random.standard_normal(4)]) for i in range(2000)], "id string, dim int, vector array<float>")
+    got = neighbours.most_similar(hot.union(one).union(rest), k=3, shard_rows=200, few=10).where("id like 'c%' or id = 'one'")
+    per = got.groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("c"))
+    assert per.count() == 100_001 and per.where("n <> 3").count() == 0 and per.where("id <> 'one' and c < 0.99999").count() == 0
+    assert {r.neighbour for r in got.where("id = 'c000001'").collect()} == {"c000000", "c000002", "c000003"}
+
+
+def test_cells_are_divided_and_hubs_asked_in_blocks(spark):
+    """Half of the vectors in one dense cluster, shards far smaller than it."""
+    random = np.random.default_rng(8)
+    dense = hnsw.unit(np.ones((1, 24)) + 0.4 * random.standard_normal((1000, 24)))
+    x = np.concatenate([dense, clustered(1000, 24, 20, 3)]).astype(np.float32)
+    v = spark.createDataFrame([(f"v{i:04d}", 24, [float(a) for a in r]) for i, r in enumerate(x)], "id string, dim int, vector array<float>")
+    rows = neighbours._sized(v)
+    centres = neighbours._fit(rows, {24: np.zeros((1, 24), np.float32)}, {(24, 0): (4, 1.0)}, 2000, 1)
+    assert len(centres[24]) == 4
+    finer = neighbours._fit(rows, centres, {(24, 0): (5, 1.0)}, 2000, 1)
+    assert len(finer[24]) == 8
+    got = {(r[0], r[1]) for r in neighbours.most_similar(v, shard_rows=100, sample=600, degree=12, width=32).where("rank <= 10 and cosine >= 0.75").collect()}
+    near, sims = exact(x, 10)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in near[i] if sims[i, j] >= 0.75}
+    assert len(got & want) >= 0.6 * len(want)
+
+
 def test_ties_go_to_smaller_ids_within_a_shard(spark):
     rows = [(f"c{i:02d}", 2, [1.0, 1.0], None, None, None) for i in range(15)]
     got = {}
