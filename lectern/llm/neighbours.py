@@ -223,21 +223,22 @@ def _expand(found: DataFrame, copies: DataFrame, of, k: int) -> DataFrame:
     w = Window.partitionBy("dim", "rep").orderBy("id")
     some = copies.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).select(F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
     wide = found.join(of(some), "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
-    others = copies.where("id <> rep").select("rep", F.col("id").alias("copy"))
-    again = wide.join(of(others), wide["id"] == others["rep"]).select(F.col("copy").alias("id"), "neighbour", "cosine")
+    every = copies.select("rep", F.col("id").alias("asking"))
+    wide = wide.join(of(every), F.col("id") == F.col("rep"), "left").select(F.coalesce("asking", "id").alias("id"), "neighbour", "cosine")
     same = copies.select("rep", "id").join(of(some), F.col("rep") == F.col("neighbour")).where("id <> copy").select("id", F.col("copy").alias("neighbour"), F.lit(1.0).alias("cosine"))
-    return wide.unionByName(again).unionByName(same).where("id <> neighbour")
+    return wide.unionByName(same).where("id <> neighbour")
 
 
 def _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed) -> DataFrame:
     """(id, neighbour, cosine) of all shards' answers.  ``fill`` and ``asked``
-    count the vectors stored in a cell and asked of it from elsewhere."""
+    count the vectors stored in a cell and asked of it from elsewhere; of these a
+    block has six times the target at most on average."""
     first, blocks, parts, shards = {}, {}, {}, 0
     for dim in sorted(centres):
         for c in range(len(centres[dim])):
             first[dim, c] = shards
             parts[dim, c] = -(-fill.get((dim, c), 0) // (3 * target[dim])) or 1
-            blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (3 * target[dim] * parts[dim, c])))
+            blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (6 * target[dim] * parts[dim, c])))
             shards += parts[dim, c] * blocks[dim, c]
     shared = rows.sparkSession.sparkContext.broadcast((centres, first, blocks, parts))
 
