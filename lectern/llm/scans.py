@@ -2,10 +2,12 @@
 
 The lines of a page are labelled as running header, page number, body or break
 by a hidden Markov model over layout features (place on the page, likeness to
-title, venue and authors, width, indent, case, punctuation).  Its tables are
+title, venue and authors, width, indent, case, punctuation); how far a likeness
+can be trusted depends on the page's recognition confidence, so its tables are
+kept for each level of that.  The model's tables are
 counted on all pages whose repaired text is known, then refined by Viterbi
 training on all scanned pages, whose counts Spark sums.  Words cut at line ends
-and misread words are judged by the word counts of the whole scanned corpus: the
+and misread words are judged by the word counts of all pages, scanned and native: the
 most frequent words are sent to all tasks, the others joined by a shuffle to the
 pages that ask for them.  Body lines are put together to paragraphs; a word cut by a page end is joined with the next page by
 an equi-join on the page number, so no task holds more than single pages.
@@ -38,6 +40,8 @@ VISUAL = {"c": "eo", "e": "c", "i": "l", "l": "i", "t": "f", "f": "t", "u": "n",
 #: Fixed value: what stands for the venue of a paper without one.
 NO_VENUE = "Working Paper Series"
 SPECKS = "|~'.,`^*_:;\""
+#: A page of at least this confidence is a sure one.
+SURE = 0.75
 NUMBER_LINE = re.compile(r"^\W*(?:(?:p|pp|pg|page|seite)\W{0,2}\s*)?(?:\d{1,5}|[ivxlc]{1,7}|(?=[lIOoSs|]*\d)[\dlIOoSs|]{1,5})(?:\s*(?:of|/|von|de)\s*\d{1,5})?\W*$", re.IGNORECASE)
 
 
@@ -80,9 +84,17 @@ def _likeness(line: str, running: tuple) -> float:
     return best
 
 
-def line_features(lines: list[str], running: tuple) -> list[tuple | None]:
+def sureness(confidence: float | None) -> int:
+    """0 where the confidence of a page is unknown or out of range, 1 where it is
+    below ``SURE``, else 2.  Confidences above 1 are percentages."""
+    if confidence is None or not 0 <= confidence <= 100:
+        return 0
+    return 2 if (confidence if confidence <= 1 else confidence / 100) >= SURE else 1
+
+
+def line_features(lines: list[str], running: tuple, sure: int = 0) -> list[tuple | None]:
     """Discrete features of each line; None for a blank one.  Lines far from
-    both ends of the page share one value."""
+    both ends of the page share one value.  ``sure`` is the page's :func:`sureness`."""
     full = [i for i, x in enumerate(lines) if x.strip()]
     out: list[tuple | None] = [None] * len(lines)
     if not full:
@@ -105,7 +117,7 @@ def line_features(lines: list[str], running: tuple) -> list[tuple | None]:
         out[i] = (
             ("top", top), ("bottom", bottom),
             ("number", 2 if NUMBER_LINE.match(s) else 1 if re.match(r"^\d{1,4}\s{2,}|.*\s{3,}\d{1,4}$", s) else 0),
-            ("like", 3 if like >= 0.75 else 2 if like >= 0.55 else 1 if like >= 0.4 else 0),
+            ("like", 4 * sure + (3 if like >= 0.75 else 2 if like >= 0.55 else 1 if like >= 0.4 else 0)),
             ("width", 0 if width < 0.35 else 1 if width < 0.75 else 2 if width < 0.92 else 3),
             ("alone", alone), ("end", s[-1] in ".?!:;,"), ("lower", s[0].islower()),
             ("capitals", 2 if capitals > 0.8 else 1 if capitals > 0.4 else 0), ("indent", len(raw) - len(raw.lstrip()) >= 6),
@@ -114,7 +126,7 @@ def line_features(lines: list[str], running: tuple) -> list[tuple | None]:
 
 
 #: The features of a line near an end of its page, with how many values each has.
-FEATURES = (("top", 4), ("bottom", 4), ("number", 3), ("like", 4), ("width", 4), ("alone", 4), ("end", 2), ("lower", 2), ("capitals", 3), ("indent", 2))
+FEATURES = (("top", 4), ("bottom", 4), ("number", 3), ("like", 12), ("width", 4), ("alone", 4), ("end", 2), ("lower", 2), ("capitals", 3), ("indent", 2))
 BLANK, INNER = -1, -2
 
 
@@ -136,7 +148,8 @@ def _decode(code: int) -> tuple | None:
     out = []
     for name, size in reversed(FEATURES):
         code, value = divmod(code, size)
-        out.append((name, value))
+        # likenesses compete with those of pages of the same sureness only
+        out.append((f"like{value // 4}", value % 4) if name == "like" else (name, value))
     return tuple(out[::-1])
 
 
@@ -203,8 +216,10 @@ def tally(pages: list[np.ndarray], labels: list) -> Counter:
     return out
 
 
-def fit(counts: Counter, weight: float = 0.5) -> Model:
-    """The tables of the model from what :func:`tally` counts, smoothed by ``weight``."""
+def fit(counts: Counter, weight: float = 0.5, pooled: float = 2000) -> Model:
+    """The tables of the model from what :func:`tally` counts, smoothed by
+    ``weight``; those of one level of sureness by ``pooled`` lines that are
+    spread as on all pages."""
     start, end, step = np.full(4, weight), np.full(4, weight), np.full((4, 4), weight)
     state_n = np.full(4, weight)
     values: dict = {}
@@ -224,6 +239,13 @@ def fit(counts: Counter, weight: float = 0.5) -> Model:
                 continue
             for x in feature:
                 values.setdefault(x, np.full(4, weight))[s] += n
+    likes: dict = {}
+    for (name, v), n in [x for x in values.items() if x[0][0].startswith("like")]:
+        likes[v] = likes.get(v, 0) + n
+    every = sum(likes.values()) if likes else 1.0
+    for level in {x[0] for x in values if x[0].startswith("like")}:
+        for v, n in likes.items():
+            values[level, v] = values.get((level, v), 0) + n * pooled / every.sum() if likes else 0
     totals: dict = {}
     for x, n in values.items():
         totals[x[0]] = totals.get(x[0], 0) + n
@@ -296,10 +318,10 @@ def page_words(text: str) -> list[str]:
     return out
 
 
-def lexicon(pages: DataFrame, least: int = 5, bound: int = 200_000) -> tuple[dict[str, int], DataFrame | None]:
-    """Counts of the words of at least ``least`` occurrences that ``pages``
-    (text) write in lower case: the ``bound`` most frequent ones, and a table
-    (word, n) of all others if there are any."""
+def lexicon(pages: DataFrame, bound: int = 200_000) -> tuple[dict[str, int], DataFrame | None]:
+    """Counts of the words that ``pages`` (text) write in lower case: the
+    ``bound`` most frequent ones, and a table (word, n) of all others if there
+    are any."""
 
     def run(batches):
         for batch in batches:
@@ -309,7 +331,7 @@ def lexicon(pages: DataFrame, least: int = 5, bound: int = 200_000) -> tuple[dic
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
     counted = pages.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = cut(counted.where(F.col("n") >= least), "scan-words")
+    counted = cut(counted, "scan-words")
     head = [(r[0], r[1]) for r in counted.orderBy(F.desc("n"), "word").limit(bound).collect()]
     if len(head) < bound:
         return dict(head), None
@@ -515,19 +537,19 @@ def prepare(ocr: DataFrame, papers: DataFrame, small: int = 100_000) -> DataFram
     is null or blank, are left out.  Papers are sent to all tasks only if there
     are at most ``small`` of them."""
     pages = ocr.where("paper_id is not null and page_number is not null and trim(text) <> '' and status in ('completed', 'not_needed')")
-    pages = pages.select("paper_id", "page_number", (F.col("status") == "completed").alias("scanned"), "text").dropDuplicates(["paper_id", "page_number"])
+    pages = pages.select("paper_id", "page_number", (F.col("status") == "completed").alias("scanned"), "text", "confidence").dropDuplicates(["paper_id", "page_number"])
     info = papers.where("paper_id is not null").select("paper_id", "title", "venue", "authors").dropDuplicates(["paper_id"])
     if info.limit(small + 1).count() <= small:
         info = F.broadcast(info)
 
     def run(batches):
         for batch in batches:
-            col = [batch.column(n).to_pylist() for n in ("text", "title", "venue", "authors")]
-            codes = [[_code(f) for f in line_features(text.split("\n"), _running(title, venue, tuple(authors or ())))] for text, title, venue, authors in zip(*col)]
+            col = [batch.column(n).to_pylist() for n in ("text", "title", "venue", "authors", "confidence")]
+            codes = [[_code(f) for f in line_features(text.split("\n"), _running(title, venue, tuple(authors or ())), sureness(sure))] for text, title, venue, authors, sure in zip(*col)]
             left = batch.select(["paper_id", "page_number", "scanned", "text"])
             yield pa.RecordBatch.from_arrays([*left.columns, pa.array(codes, pa.list_(pa.int32()))], ["paper_id", "page_number", "scanned", "text", "lines"])
 
-    joined = pages.join(info, "paper_id", "left").select("paper_id", "page_number", "scanned", "text", "title", "venue", "authors")
+    joined = pages.join(info, "paper_id", "left").select("paper_id", "page_number", "scanned", "text", "title", "venue", "authors", "confidence")
     return joined.mapInArrow(run, "paper_id string, page_number int, scanned boolean, text string, lines array<int>")
 
 
@@ -666,7 +688,7 @@ def scan_noise(ocr: DataFrame, papers: DataFrame, repaired: DataFrame, bound: in
     ``misread``, ``header``, ``page_number``; lines count from 1, blank ones
     too.  A repeated page counts once.  ``bound`` words are sent to all tasks."""
     pages = cut(prepare(ocr, papers), "scan-pages")
-    counts, tail = lexicon(pages.where("scanned"), bound=bound)
+    counts, tail = lexicon(pages, bound=bound)
     model = learn(pages, repaired)
     read = cut(read_pages(pages, model, counts, tail).drop("body", "more"), "scan-read")
     scanned = read.where("scanned")
@@ -733,7 +755,7 @@ def repair(ocr: DataFrame, papers: DataFrame, repaired: DataFrame, bound: int =
     """(paper_id, page_number, repaired_text) of every scanned page.
     ``bound`` words are sent to all tasks."""
     pages = cut(prepare(ocr, papers), "scan-pages")
-    counts, tail = lexicon(pages.where("scanned"), bound=bound)
+    counts, tail = lexicon(pages, bound=bound)
     model = learn(pages, repaired)
     read = cut(read_pages(pages, model, counts, tail, with_body=True), "scan-read")
     over = across_pages(read, counts, tail)
