@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators import relational as R
+
 
 def holm(df: DataFrame, p: str, label: str, alpha: float = 0.05) -> DataFrame:
     """Holm's step-down correction: ``adjusted`` and ``rejected`` of each p-value.
@@ -51,6 +53,44 @@ def diversify(pool: DataFrame, query: str, k: int, scale: float = 1.0) -> DataFr
     return pool.groupBy(query).applyInPandas(pick, schema)
 
 
+def diversity_pool(df: DataFrame, query: str, k: int) -> DataFrame:
+    """The rows among which :func:`diversify` can choose ``k``, with their position.
+
+    Papers come in by their best row, so only the ``k`` best of these matter;
+    of a paper, a row can be passed over for two neighbours of each chosen one,
+    so its 3 ``k`` best rows do.  ``df`` has base, paper_id and chunk_index."""
+    order = [F.desc("base"), F.col("chunk_index")]
+    rows = R.top_k(df, [query, "paper_id"], order, 3 * k, "__r")
+    best = R.top_k(rows.where("__r = 1"), [query], order, k).select(query, "paper_id")
+    return R.top_k(rows.drop("__r").join(best, [query, "paper_id"], "left_semi"), [query], order, 3 * k * k, "position")
+
+
+def _digest(fields: list[str]) -> F.Column:
+    return F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]), 256)
+
+
+def _link(before: F.Column, own: F.Column) -> F.Column:
+    return F.sha2(F.concat_ws("|", F.coalesce(before, F.lit("")), own), 256)
+
+
+def chain(rows: DataFrame, by: str, order: list[str], key: str, fields: list[str]) -> DataFrame:
+    """(by, key, previous, link): a hash chain over the rows of each ``by``; a link
+    is the hash of the digests of the row before and of the row itself."""
+    w = Window.partitionBy(by).orderBy(*order)
+    d = rows.withColumn("__d", _digest(fields))
+    return d.select(by, key, F.lag(key).over(w).alias("previous"), _link(F.lag("__d").over(w), F.col("__d")).alias("link"))
+
+
+def verify_chain(stored: DataFrame, rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``stored`` with ``valid``: whether the link, worked out anew from the rows
+    that it names, is what was stored.  Rows are found by key, not by order."""
+    d = rows.select(key, _digest(fields).alias("__d"))
+    before = d.select(F.col(key).alias("previous"), F.col("__d").alias("__b"))
+    found = stored.join(d, key, "left").join(before, "previous", "left")
+    whole = F.col("__d").isNotNull() & (F.col("previous").isNull() | F.col("__b").isNotNull())
+    return found.withColumn("valid", whole & (_link(F.col("__b"), F.col("__d")) == F.col("link"))).drop("__d", "__b")
+
+
 def displacement(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:
     """Mean distance of the ranks of two top-``k`` lists; absent is k + 1."""
     both = a.select(key, F.col("rank").alias("ra")).join(b.select(key, F.col("rank").alias("rb")), key, "full")

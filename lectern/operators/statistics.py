@@ -52,15 +52,52 @@ def bootstrap_mean(values: DataFrame, unit: str, value: str, repetitions: int =
     return means.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high")).crossJoin(point).select("mean", "low", "high", "n")
 
 
-def sign_flip_test(pairs: DataFrame, difference: str, limit: int = 20) -> DataFrame:
-    """(pairs, statistic, p_value): exact two-sided paired permutation test.
+def paired_bootstrap(pairs: DataFrame, unit: str, a: str, b: str, cluster: str | None = None, repetitions: int = 10_000, seed: int = 20260712, level: float = 0.95) -> DataFrame:
+    """(mean, low, high, n): percentile interval of the mean difference ``a`` - ``b``.
+
+    Both values of a pair are drawn together; with ``cluster`` all pairs of a
+    cluster are, so the interval allows for their likeness.  Clusters are summed
+    before they are drawn.  Pairs with a null on either side are left out."""
+    good = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(unit).isNotNull()).withColumn("__d", F.col(a) - F.col(b))
+    by = F.col(cluster or unit)
+    drawn = good.where(by.isNotNull()).groupBy(by.alias("u")).agg(F.sum("__d").alias("s"), F.count("*").alias("n"))
+    return _poisson_ratio(drawn, repetitions, seed, level)
+
+
+def _poisson_ratio(drawn: DataFrame, repetitions: int, seed: int, level: float) -> DataFrame:
+    """Interval of sum(s) / sum(n) over units ``u`` drawn by Poisson weights."""
+    # replicates come in runs, so that a unit is a few rows and each row a few sums
+    run = 10
+    runs = F.broadcast(drawn.sparkSession.range(-(-repetitions // run)).toDF("run"))
+    weight = lambda i: poisson_weight(draw(F.lit(seed), F.col("run") * run + i, F.col("u")) / 4294967296.0)
+    w = drawn.crossJoin(runs).select("run", "s", "n", F.posexplode(F.array(*[weight(i) for i in range(run)])).alias("i", "w")).where("w > 0")
+    means = w.groupBy((F.col("run") * run + F.col("i")).alias("rep")).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")).where(F.col("rep") < repetitions)
+    low, high = (1 - level) / 2, 1 - (1 - level) / 2
+    point = drawn.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.sum("n").alias("n")).where("n > 0")
+    return means.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high")).crossJoin(point).select("mean", "low", "high", "n")
+
 
-    All 2^n sign patterns of at most ``limit`` nonzero differences are one range
-    of numbers whose bits are the signs."""
+def sign_flip_test(pairs: DataFrame, difference: str, limit: int = 20, unit: str | None = None, repetitions: int = 10_000, seed: int = 20260712) -> DataFrame:
+    """(pairs, statistic, p_value): two-sided paired permutation test of a mean.
+
+    Up to ``limit`` nonzero differences it is exact: all 2^n sign patterns are one
+    range of numbers whose bits are the signs.  Beyond that it needs ``unit``, the
+    id of a pair, and draws ``repetitions`` sign patterns by hash of replicate and
+    unit; the p-value then counts the pattern seen as one of them."""
     d = [r[0] for r in pairs.where(F.col(difference) != 0).select(difference).orderBy(difference).limit(limit + 1).collect()]
-    if len(d) > limit:
-        raise ValueError(f"more than {limit} nonzero pairs")
     spark = pairs.sparkSession
+    if len(d) > limit:
+        if unit is None:
+            raise ValueError(f"more than {limit} nonzero pairs need the id of a pair")
+        # whole numbers and halves add up alike in any order; other values are rounded to 1e-9
+        good = pairs.where(F.col(difference).isNotNull() & (F.col(difference) != 0)).select(F.col(unit).alias("u"), F.col(difference).cast("decimal(28,9)").alias("x"))
+        flips = good.crossJoin(F.broadcast(spark.range(repetitions).toDF("rep")))
+        sign = F.when(draw(F.lit(seed), F.col("rep"), F.col("u")) % 2 == 0, F.col("x")).otherwise(-F.col("x"))
+        totals = flips.groupBy("rep").agg(F.abs(F.sum(sign)).alias("t"))
+        seen = good.agg(F.count("*").cast("int").alias("pairs"), F.sum("x").alias("s"))
+        # one row each
+        both = totals.crossJoin(F.broadcast(seen))
+        return both.groupBy("pairs", (F.col("s").cast("double") / F.col("pairs")).alias("statistic")).agg(((F.count_if(F.col("t") >= F.abs("s")) + 1) / (repetitions + 1)).alias("p_value"))
     if not d:
         return spark.createDataFrame([(0, 0.0, 1.0)], "pairs int, statistic double, p_value double")
     flips = spark.range(1 << len(d))

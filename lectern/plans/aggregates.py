@@ -116,8 +116,8 @@ def mean_of_means(spark, d):
 
 
 def slot_coverage(spark, d):
-    """Pages 1 to the largest of each paper that no row of the scans has."""
-    o = table(spark, d, "ocr").where("page_number > 0")
+    """Pages 1 to the largest scanned one of each paper that no completed scan has."""
+    o = table(spark, d, "ocr").where("page_number > 0 and status = 'completed'")
     want = o.groupBy("paper_id").agg(F.max("page_number").alias("last")).select("paper_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page_number"))
     return want.join(o, ["paper_id", "page_number"], "left_anti").groupBy("paper_id").agg(F.count("*").alias("missing"), F.min("page_number").alias("first_missing"))
 
@@ -156,7 +156,7 @@ def profile_attributes(spark, d):
 
 def revenue_by_nation(spark, d):
     li, o, s, n, r = (table(spark, d, t) for t in ("lineitem", "orders", "supplier", "nation", "region"))
-    x = li.join(o, li.l_orderkey == o.o_orderkey).join(F.broadcast(s), li.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    x = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
     return x.where("o_orderstatus = 'F'").groupBy("r_name", "n_name").agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
@@ -200,7 +200,7 @@ SQL = {
         SELECT l AS label, tp, fp, fn, tn, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0.0), 6) AS f1 FROM r""",
     "agg_confusion": f"SELECT lower(trim(split)) AS split, count(*) FILTER (WHERE expected_answerable) AS answerable, count(*) FILTER (WHERE NOT expected_answerable) AS unanswerable FROM {QA} WHERE split IS NOT NULL GROUP BY 1",
     "agg_mean_of_means": "SELECT round(avg(m), 6) AS mean_of_means, count(*) AS sources FROM (SELECT lower(trim(source)), avg(length(text)) m FROM documents WHERE source IS NOT NULL GROUP BY 1)",
-    "agg_slot_coverage": """WITH o AS (SELECT DISTINCT paper_id, page_number FROM ocr WHERE page_number > 0), w AS (SELECT paper_id, unnest(range(1, max(page_number) + 1)) page_number FROM o GROUP BY 1)
+    "agg_slot_coverage": """WITH o AS (SELECT DISTINCT paper_id, page_number FROM ocr WHERE page_number > 0 AND status = 'completed'), w AS (SELECT paper_id, unnest(range(1, max(page_number) + 1)) page_number FROM o GROUP BY 1)
         SELECT w.paper_id AS paper_id, count(*) AS missing, CAST(min(w.page_number) AS INTEGER) AS first_missing FROM w LEFT JOIN o ON o.paper_id = w.paper_id AND o.page_number = w.page_number WHERE o.paper_id IS NULL GROUP BY 1""",
     "agg_repeat_agreement": """SELECT count(*) AS pairs, round(avg(CASE WHEN kinds = 1 THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(hi - lo), 6) AS mean_difference
         FROM (SELECT count(*) n, count(DISTINCT status) kinds, max(confidence) hi, min(confidence) lo FROM ocr GROUP BY paper_id, page_number HAVING count(*) > 1)""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.words import folded_words
+from lectern.operators import recommend as M
 from lectern.operators import relational as R
 from lectern.session import spread_table, table
 
@@ -171,16 +172,8 @@ def nested_semi(spark, d):
 
 
 def related_papers(spark, d):
-    """For every paper the five papers with most in common: three points for
-    each shared topic, two for each shared author, one for a year at most two
-    away.  Only papers that share a topic or an author are compared."""
-    p = papers(spark, d).select("paper_id", "pub_year")
-    topics = R.shared_counts(papers(spark, d).select("paper_id", F.explode("authors").alias("t")), "paper_id", "t").select("a", "b", (F.col("shared") * 2).alias("points"))
-    both = topics.unionByName(topics.select(F.col("b").alias("a"), F.col("a").alias("b"), "points"))
-    years = both.join(p.withColumnRenamed("paper_id", "a").withColumnRenamed("pub_year", "ya"), "a").join(p.withColumnRenamed("paper_id", "b").withColumnRenamed("pub_year", "yb"), "b")
-    near = F.when(F.abs(F.col("ya") - F.col("yb")) <= 2, 1).otherwise(0)
-    scored = years.select("a", "b", (F.col("points") + near).alias("score"))
-    return R.top_k(scored, ["a"], [F.desc("score"), F.col("b")], 5).select(F.col("a").alias("paper_id"), F.col("b").alias("related_id"), F.col("score").cast("long").alias("score"), "rank")
+    """For every paper the five papers with most in common."""
+    return M.related(papers(spark, d), 5)
 
 
 def name_variants(spark, d):
@@ -262,8 +255,8 @@ SQL = {
         CASE WHEN NOT starts_with(gold_locator.chunk_id, gold_locator.paper_id) THEN 'foreign_chunk' END, CASE WHEN coalesce(gold_locator.source_hash, '') = '' THEN 'no_hash' END,
         CASE WHEN trim(coalesce(cluster_id, '')) = '' THEN 'no_cluster' END) AS codes FROM {QA} q LEFT JOIN {PAPERS} p ON p.paper_id = q.gold_locator.paper_id WHERE gold_locator IS NOT NULL""",
     "join_nested_semi": f"""SELECT case_id, category FROM {QA} WHERE len(list_filter(answer_points, lambda p: len(list_filter(p.groups, lambda g: len(list_filter(g, lambda w: contains(lower(w), 'sampl'))) > 0)) > 0)) > 0""",
-    "join_related_papers": f"""WITH b AS (SELECT DISTINCT paper_id, e FROM (SELECT paper_id, unnest(authors) e FROM {PAPERS}) WHERE e IS NOT NULL),
-        s AS (SELECT x.paper_id a, y.paper_id b, 2 * count(*) points FROM b x JOIN b y ON x.e = y.e AND x.paper_id <> y.paper_id GROUP BY 1, 2),
+    "join_related_papers": f"""WITH b AS (SELECT DISTINCT paper_id, 2 w, e FROM (SELECT paper_id, unnest(authors) e FROM {PAPERS}) WHERE e IS NOT NULL UNION ALL SELECT DISTINCT paper_id, 3, e FROM (SELECT paper_id, unnest(topics) e FROM {PAPERS}) WHERE e IS NOT NULL),
+        s AS (SELECT x.paper_id a, y.paper_id b, sum(x.w) points FROM b x JOIN b y ON x.w = y.w AND x.e = y.e AND x.paper_id <> y.paper_id GROUP BY 1, 2),
         c AS (SELECT a, b, points + CASE WHEN abs(p.pub_year - r.pub_year) <= 2 THEN 1 ELSE 0 END score FROM s JOIN {PAPERS} p ON p.paper_id = a JOIN {PAPERS} r ON r.paper_id = b)
         SELECT a AS paper_id, b AS related_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM c) WHERE rank <= 5""",
     "author_variants": f"""WITH n AS (SELECT DISTINCT name, paper_id, trim(regexp_replace(lower(strip_accents(nfc_normalize(name))), '[^a-z0-9]+', ' ', 'g')) k FROM (SELECT paper_id, unnest(authors) name FROM {PAPERS}) WHERE name IS NOT NULL)

@@ -10,22 +10,22 @@ from lectern.operators import answers as A
 from lectern.operators import search as S
 from lectern.operators import statistics as T
 from lectern.plans.catalog import QA, cases, texts
-from lectern.plans.retrieval import _BM, _Q, _RANK, probes
+from lectern.plans.retrieval import _BM, _Q, _RANK, probes, search_bm25
 from lectern.plans.textops import _SENT, _TOK
 from lectern.session import table
 
 
 def answerable(spark, d):
-    return A.answerability(S.bm25(texts(spark, d), probes(spark), 10), probes(spark), texts(spark, d))
+    return A.answerability(search_bm25(spark, d), probes(spark), texts(spark, d))
 
 
 def claim_counts(spark, d):
-    c = A.claims(texts(spark, d).where("lang = 'en'"), "doc_id", "text")
+    c = A.claims(texts(spark, d), "doc_id", "text")
     return c.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(F.col("claim").rlike(r"\[[0-9]+\]")).alias("with_marker"))
 
 
 def best_sentences(spark, d):
-    return A.best_sentence(texts(spark, d).where("lang = 'en'"), "doc_id", "text", ["random", "forests", "error", "labels"])
+    return A.best_sentence(texts(spark, d), "doc_id", "text", ["random", "forests", "error", "labels"])
 
 
 def answer_points(spark, d):
@@ -35,8 +35,8 @@ def answer_points(spark, d):
 
 
 def citation_support(spark, d):
-    """Overlap of each English sentence with the one after it: supported from 0.08."""
-    s = A.claims(texts(spark, d).where("lang = 'en'"), "doc_id", "text").withColumn("t", F.array_distinct(X.tokens(F.col("claim"))))
+    """Overlap of each sentence with the one after it: supported from 0.08."""
+    s = A.claims(texts(spark, d), "doc_id", "text").withColumn("t", F.array_distinct(X.tokens(F.col("claim"))))
     nxt = F.lead("t").over(Window.partitionBy("doc_id").orderBy("n"))
     o = s.withColumn("u", nxt).where("u is not null").withColumn("overlap", F.size(F.array_intersect("t", "u")) / F.size("t"))
     return o.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("overlap") >= 0.08).alias("supported"))
@@ -54,6 +54,19 @@ def wilson_by_category(spark, d):
     return g.select("category", "yes", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+def paired_difference(spark, d):
+    """Clicks less views of each user's days, drawn by user."""
+    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "click").cast("double").alias("clicks"), F.count_if(F.col("event_type") == "view").cast("double").alias("views"))
+    b = T.paired_bootstrap(e.withColumn("pair", F.concat_ws("|", F.col("user_id").cast("string"), F.col("day").cast("string"))), "pair", "clicks", "views", "user_id", 200)
+    return b.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+def permutation_users(spark, d):
+    """Whether users click more than they view: signs drawn for each user."""
+    e = table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "click") - F.count_if(F.col("event_type") == "view")).cast("double").alias("x"))
+    return T.sign_flip_test(e, "x", 20, "user_id", 1000).select("pairs", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
 def bootstrap_users(spark, d):
     u = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
     b = T.bootstrap_mean(u, "user_id", "v", 200)
@@ -81,7 +94,7 @@ def centroid_sweep(spark, d):
 
 def paired_runs(spark, d):
     """Two retrieval runs compared query by query; both must have every query."""
-    a = S.bm25(texts(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("a"))
+    a = search_bm25(spark, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("a"))
     b = S.coverage(texts(spark, d), probes(spark), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("b"))
     j = a.join(b, "query_id", "full")
     both = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a query is missing in one run")).cast("int")).otherwise(F.size(F.array_intersect("a", "b")))
@@ -102,11 +115,11 @@ def majority_label(spark, d):
 
 QUERIES = {
     "qa_answerability": answerable, "qa_claims": claim_counts, "qa_best_sentences": best_sentences, "qa_answer_points": answer_points, "qa_support": citation_support, "qa_question_terms": question_terms,
-    "stat_wilson": wilson_by_category, "stat_bootstrap": bootstrap_users, "stat_permutation": permutation_weekdays, "stat_threshold_sweep": centroid_sweep, "stat_paired_runs": paired_runs,
+    "stat_wilson": wilson_by_category, "stat_bootstrap": bootstrap_users, "stat_paired_bootstrap": paired_difference, "stat_permutation_drawn": permutation_users, "stat_permutation": permutation_weekdays, "stat_threshold_sweep": centroid_sweep, "stat_paired_runs": paired_runs,
     "stat_percentiles_by_user": latency_percentiles, "stat_majority": majority_label,
 }
 
-_CL = f"cl AS (SELECT * FROM (SELECT doc_id, unnest({_SENT}) claim, generate_subscripts({_SENT}, 1) n FROM documents WHERE text IS NOT NULL AND lang = 'en'))"
+_CL = f"cl AS (SELECT * FROM (SELECT doc_id, unnest({_SENT}) claim, generate_subscripts({_SENT}, 1) n FROM documents WHERE text IS NOT NULL))"
 _ZZ = "1.959963984540054::DOUBLE"
 SQL = {
     "qa_answerability": f"""WITH {_BM}, q AS (SELECT query_id, list_distinct({_TOK('query')}) want FROM {_Q}), h AS ({_RANK('s', 10)}),
@@ -128,6 +141,13 @@ SQL = {
     "stat_bootstrap": f"""WITH u AS (SELECT user_id, avg(value) v FROM events GROUP BY user_id), w AS (SELECT rep, v, CAST('0x' || substr(md5('20260712:' || rep || ':' || user_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE x FROM u, range(200) r(rep)),
         k AS (SELECT rep, v, CASE {' '.join(f'WHEN x < {p!r}::DOUBLE THEN {i}' for i, p in enumerate(T.POISSON))} ELSE {len(T.POISSON)} END w FROM w), m AS (SELECT rep, sum(w * v) / sum(w) m FROM k GROUP BY 1)
         SELECT round((SELECT avg(v) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS n FROM m""",
+    "stat_paired_bootstrap": f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) d, count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'view') x FROM events GROUP BY 1, 2), u AS (SELECT user_id, CAST(sum(x) AS DOUBLE) s, count(*) n FROM e GROUP BY 1),
+        w AS (SELECT rep, s, n, CAST('0x' || substr(md5('20260712:' || rep || ':' || user_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE x FROM u, range(200) r(rep)),
+        k AS (SELECT rep, s, n, CASE {' '.join(f'WHEN x < {p!r}::DOUBLE THEN {i}' for i, p in enumerate(T.POISSON))} ELSE {len(T.POISSON)} END w FROM w), m AS (SELECT rep, sum(w * s) / sum(w * n) m FROM k GROUP BY 1)
+        SELECT round((SELECT sum(s) / sum(n) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT CAST(sum(n) AS BIGINT) FROM u) AS n FROM m""",
+    "stat_permutation_drawn": """WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'view') x FROM events GROUP BY 1), g AS (SELECT * FROM e WHERE x <> 0),
+        t AS (SELECT rep, abs(sum(CASE WHEN CAST('0x' || substr(md5('20260712:' || rep || ':' || user_id), 1, 8) AS BIGINT) % 2 = 0 THEN x ELSE -x END)) t FROM g, range(1000) r(rep) GROUP BY 1), s AS (SELECT count(*) n, sum(x) s FROM g)
+        SELECT CAST(any_value(n) AS INTEGER) AS pairs, round(any_value(s) / any_value(n), 6) AS statistic, round((count(*) FILTER (WHERE t >= abs(s)) + 1) / 1001, 6) AS p_value FROM t, s""",
     "stat_permutation": """WITH e AS (SELECT dayofweek(ts) dow, CAST(count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'view') AS DOUBLE) x FROM events GROUP BY 1), d AS (SELECT row_number() OVER (ORDER BY x) - 1 i, x FROM e WHERE x <> 0),
         f AS (SELECT id, abs(sum(CASE WHEN (id >> CAST(i AS BIGINT)) & 1 = 1 THEN -x ELSE x END)) t FROM range((SELECT 1 << count(*) FROM d)) r(id), d GROUP BY 1)
         SELECT (SELECT CAST(count(*) AS INTEGER) FROM d) AS pairs, (SELECT round(avg(x), 6) FROM d) AS statistic, round(avg(CASE WHEN t >= (SELECT abs(sum(x)) FROM d) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_value FROM f""",

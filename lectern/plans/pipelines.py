@@ -57,7 +57,7 @@ def html_pages(spark, d):
 
 def xml_sections(spark, d):
     path = new_path(spark, "xml")
-    docs = table(spark, d, "documents").where("section is not null and lang = 'en'").select(F.concat(F.lit("<sec><title>"), "section", F.lit("</title><p>"), F.col("doc_id").cast("string"), F.lit("</p></sec>")).alias("value"))
+    docs = table(spark, d, "documents").where("section is not null").select(F.concat(F.lit("<sec><title>"), "section", F.lit("</title><p>"), F.col("doc_id").cast("string"), F.lit("</p></sec>")).alias("value"))
     docs.write.text(path)
     return S.read_xml_sections(spark, path).select("title", F.get("paragraphs", F.lit(0)).cast("long").alias("doc_id"))
 
@@ -100,7 +100,7 @@ SQL = {
     "source_json_lines": f"SELECT paper_id, title, pub_year, CAST(len(topics) AS INTEGER) AS topics FROM {PAPERS}",
     "source_csv": f"SELECT paper_id, title, venue, pub_year FROM {PAPERS}",
     "source_html_pages": f"SELECT title, 'https://papers.example/' || paper_id AS link, pub_year AS year FROM {PAPERS} WHERE pub_year IS NOT NULL AND len(authors) > 0",
-    "source_xml": "SELECT section AS title, doc_id FROM documents WHERE section IS NOT NULL AND lang = 'en'",
+    "source_xml": "SELECT section AS title, doc_id FROM documents WHERE section IS NOT NULL",
     "sink_generations": f"SELECT paper_id, title, pub_year FROM {PAPERS}",
     "sink_snapshot": "SELECT count(DISTINCT paper_id) AS rows, 'papers' AS name FROM papers UNION ALL SELECT count(*), 'customer' FROM customer UNION ALL SELECT count(*), 'nation' FROM nation",
     "source_link_kinds": f"SELECT CASE WHEN lower(coalesce(pdf_url, '')) LIKE '%.pdf' THEN 'pdf' WHEN lower(coalesce(pdf_url, '')) LIKE 'http%' THEN 'source' ELSE 'other' END AS kind, count(*) AS n FROM {PAPERS} GROUP BY 1",

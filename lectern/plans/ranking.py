@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import ranking as K
 from lectern.operators import relational as R
 from lectern.plans.catalog import documents, papers
-from lectern.session import table
+from lectern.session import cut, table
 
 
 def longest_by_source(spark, d):
@@ -36,13 +36,18 @@ def chain_gaps(spark, d):
     return e.select("user_id", "event_id", "previous_id", F.timestamp_diff("SECOND", "before", "ts").alias("seconds"))
 
 
+CHAINED = ["event_id", "event_type", "props"]
+
+
 def chain_check(spark, d):
-    """A hash chain over each user's events and how many links verify when the
-    chain is read back in another order."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("h", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props"), 256))
-    linked = e.withColumn("prev_h", F.lag("h").over(w)).withColumn("link", F.sha2(F.concat_ws("|", F.coalesce("prev_h", F.lit("")), "h"), 256))
-    return linked.groupBy("user_id").agg(F.count("*").alias("n"), F.min("link").alias("first_link"), F.count_if(F.col("prev_h").isNull()).alias("genesis"))
+    """A stored hash chain over each user's events, verified link by link against
+    the events, and against events of which every 97th was altered."""
+    e = table(spark, d, "events").select("user_id", "ts", *CHAINED)
+    stored = cut(K.chain(e, "user_id", ["ts", "event_id"], "event_id", CHAINED), "chain")
+    altered = e.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.lit("{}")).otherwise(F.col("props")))
+    good = K.verify_chain(stored, e, "event_id", CHAINED).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("previous").isNull()).alias("genesis"), F.count_if("valid").alias("valid"))
+    bad = K.verify_chain(stored, altered, "event_id", CHAINED).groupBy("user_id").agg(F.count_if(~F.col("valid")).alias("broken"))
+    return good.join(bad, "user_id")
 
 
 def sliding_limit(spark, d):
@@ -94,8 +99,8 @@ def priority_passages(spark, d):
 def diversified(spark, d):
     """Longest passages of each section, spread over papers."""
     x = documents(spark, d).where("section is not null and paper_id is not null").select("section", "paper_id", "doc_id", (F.length(F.coalesce("text", F.lit(""))) / 5000).alias("base"))
-    x = R.top_k(x, ["section"], [F.desc("base"), F.col("doc_id")], 30, "position").withColumn("chunk_index", F.col("doc_id"))
-    return K.diversify(x, "section", 10).select("section", "doc_id", "paper_id", F.round("diversified", 6).alias("diversified"), "chosen")
+    pool = K.diversity_pool(x.withColumn("chunk_index", F.col("doc_id")), "section", 10)
+    return K.diversify(pool, "section", 10).select("section", "doc_id", "paper_id", F.round("diversified", 6).alias("diversified"), "chosen")
 
 
 def running_totals(spark, d):
@@ -124,8 +129,8 @@ SQL = {
         SELECT doc_id, paper_id, lang, size, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY size DESC, doc_id) AS rank FROM b) WHERE rank <= 20""",
     "rank_latest_event": "SELECT user_id, ts, event_id, event_type, events FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS events, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "rank_chain_gaps": """SELECT user_id, event_id, lag(event_id) OVER w AS previous_id, CAST(trunc((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000) AS BIGINT) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
-    "rank_chain_check": """WITH e AS (SELECT *, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)) h FROM events), l AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM e)
-        SELECT user_id, count(*) AS n, min(sha256(coalesce(p, '') || '|' || h)) AS first_link, count(*) FILTER (WHERE p IS NULL) AS genesis FROM l GROUP BY 1""",
+    "rank_chain_check": """WITH e AS (SELECT *, event_id % 97 = 0 AND props <> '{}' hit FROM events), l AS (SELECT *, lag(hit) OVER w before, lag(event_id) OVER w prev FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT user_id, count(*) AS n, count(*) FILTER (WHERE prev IS NULL) AS genesis, count(*) AS valid, count(*) FILTER (WHERE hit OR before) AS broken FROM l GROUP BY 1""",
     "rank_sliding_limit": """SELECT event_id, user_id, seen, seen <= 2 AS admitted FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS seen FROM events)""",
     "rank_tumbling_counts": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "rank_user_sessions": """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000 THEN 1 ELSE 0 END s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -20,15 +20,15 @@ SYNONYMS = {"retrieval augmented generation": "rag", "artificial intelligence":
 
 
 def recommended(spark, d):
-    return M.score(profiles(spark, d), M.pools(papers(spark, d)), WEIGHTS, 3)
+    return M.score(profiles(spark, d), papers(spark, d), WEIGHTS, 3)
 
 
 def sensitivity(spark, d):
     """How often the first recommendation stays when one weight is doubled."""
-    base = M.score(profiles(spark, d), M.pools(papers(spark, d)), WEIGHTS, 1).select("profile_id", F.col("paper_id").alias("base"))
+    base = M.score(profiles(spark, d), papers(spark, d), WEIGHTS, 1).select("profile_id", F.col("paper_id").alias("base"))
     out = None
     for name in sorted(WEIGHTS):
-        other = M.score(profiles(spark, d), M.pools(papers(spark, d)), {**WEIGHTS, name: WEIGHTS[name] * 2}, 1).select("profile_id", "paper_id")
+        other = M.score(profiles(spark, d), papers(spark, d), {**WEIGHTS, name: WEIGHTS[name] * 2}, 1).select("profile_id", "paper_id")
         row = base.join(other, "profile_id").agg(F.count("*").alias("profiles"), F.count_if(F.col("base") == F.col("paper_id")).alias("kept")).withColumn("doubled", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
@@ -50,9 +50,9 @@ def skill_cover(spark, d):
 
 
 def gap_sentences(spark, d):
-    """The first sentence of each English text on future work or limits that
+    """The first sentence of each text on future work or limits that
     negates nothing."""
-    c = A.claims(texts(spark, d).where("lang = 'en'"), "doc_id", "text").withColumn("low", F.lower("claim"))
+    c = A.claims(texts(spark, d), "doc_id", "text").withColumn("low", F.lower("claim"))
     c = c.where(F.col("low").rlike("future work|limitation|remain open") & ~F.col("low").rlike(r"(^|[^a-z])(no|not|without) (future|limitation)"))
     return R.top_k(c, ["doc_id"], [F.col("n")], 1).select("doc_id", F.col("claim").alias("sentence"))
 
@@ -86,16 +86,9 @@ def topic_labels(spark, d):
 
 def tuned_weight(spark, d):
     """The weight of topics against recency, in tenths, that ranks the profile's
-    own paper above most of its pool; the smaller weight of equals."""
-    p = papers(spark, d).select("paper_id", "topics", F.coalesce("pub_year", F.lit(2000)).alias("y"))
-    pool = M.pools(papers(spark, d)).select("topic", F.col("paper_id").alias("c_id"), F.col("topics").alias("c_topics"), F.coalesce("pub_year", F.lit(2000)).alias("c_y"))
-    g = profiles(spark, d).where("size(preferred_topics) > 0").select("profile_id", F.array_distinct("preferred_topics").alias("want"), F.lower(F.trim("gold_paper_id")).alias("paper_id")).join(p, "paper_id")
-    c = g.withColumn("topic", F.explode("want")).join(F.broadcast(pool), "topic").dropDuplicates(["profile_id", "c_id"]).where("c_id <> paper_id")
-    share = lambda t: F.size(F.array_intersect("want", t)) * 1000 / F.size("want")
-    grid = F.broadcast(spark.range(11).select(F.col("id").alias("tenths")))
-    w = c.select("profile_id", F.floor(share("topics")).alias("gt"), F.floor(share("c_topics")).alias("ct"), ((F.col("y") - 2000) * 40).alias("gy"), ((F.col("c_y") - 2000) * 40).alias("cy")).crossJoin(grid)
-    better = F.col("tenths") * F.col("gt") + (10 - F.col("tenths")) * F.col("gy") > F.col("tenths") * F.col("ct") + (10 - F.col("tenths")) * F.col("cy")
-    n = w.groupBy("tenths").agg(F.count_if(better).alias("wins"), F.count("*").alias("of"))
+    own paper above most of the papers that share a wanted topic; the smaller
+    weight of equals."""
+    n = M.weight_wins(profiles(spark, d).withColumn("gold", F.lower(F.trim("gold_paper_id"))), papers(spark, d))
     best = Window.partitionBy().orderBy(F.desc("wins"), "tenths")
     return n.select("tenths", "wins", "of", (F.row_number().over(best) == 1).alias("chosen"))
 
@@ -120,7 +113,7 @@ QUERIES = {
     "author_initials": initials, "import_lenient": lenient_import, "text_topic_labels": topic_labels, "rec_tuned_weight": tuned_weight, "view_fallback_passages": fallback_passages, "text_page_headings": heading_counts,
 }
 
-_POOL = f"pool AS (SELECT * FROM (SELECT unnest(list_distinct(topics)) topic, * FROM {PAPERS}) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY coalesce(pub_year, 0) DESC, paper_id) <= 20)"
+_POOL = f"pool AS (SELECT * FROM (SELECT unnest(list_distinct(topics)) topic, * FROM {PAPERS}) )"
 _W = f"w AS (SELECT profile_id, list_distinct(preferred_topics) want, unnest(list_distinct(preferred_topics)) topic FROM {FINDER})"
 _C = "c AS (SELECT DISTINCT profile_id, want, paper_id, topics, pub_year, venue, pdf_url FROM (SELECT profile_id, list_sort(want) want, paper_id, topics, pub_year, venue, pdf_url FROM w JOIN pool USING (topic)))"
 
@@ -155,7 +148,7 @@ SQL = {
 def _gaps():
     from lectern.plans.textops import _TOK
 
-    return f"""WITH s AS (SELECT doc_id, unnest({_SENT}) claim, generate_subscripts({_SENT}, 1) n FROM documents WHERE text IS NOT NULL AND lang = 'en')
+    return f"""WITH s AS (SELECT doc_id, unnest({_SENT}) claim, generate_subscripts({_SENT}, 1) n FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, claim AS sentence FROM s WHERE len({_TOK('claim')}) >= 4 AND regexp_matches(lower(claim), 'future work|limitation|remain open') AND NOT regexp_matches(lower(claim), '(^|[^a-z])(no|not|without) (future|limitation)') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1"""
 
 

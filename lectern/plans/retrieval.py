@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import indexes as I
+from lectern.operators import relational as R
 from lectern.operators import search as S
 from lectern.plans.catalog import PAPERS, QA, cases, documents, texts, papers
 from lectern.plans.textops import _TOK
@@ -21,10 +23,28 @@ def probes(spark):
     return spark.createDataFrame(list(PROBES), "query_id string, query string")
 
 
+def index(spark, d):
+    """The persisted index of the documents, made at first use."""
+    return I.of(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def search_bm25(spark, d):
+    return I.bm25(index(spark, d), probes(spark), 10)
+
+
+def search_unindexed(spark, d):
+    """The same without an index, for tables that are searched once."""
     return S.bm25(texts(spark, d), probes(spark), 10)
 
 
+def search_filtered(spark, d):
+    """BM25 among passages of results and discussions of papers since 2015; the
+    filter comes before the limit."""
+    new = papers(spark, d).where("pub_year >= 2015").select("paper_id")
+    among = documents(spark, d).where("lower(section) in ('results', 'discussion')").join(new, "paper_id", "left_semi").select("doc_id")
+    return I.bm25(index(spark, d), probes(spark), 10, among)
+
+
 def search_coverage(spark, d):
     return S.coverage(texts(spark, d), probes(spark), 10)
 
@@ -32,28 +52,35 @@ def search_coverage(spark, d):
 def search_fused(spark, d):
     """Both lexical scores; BM25 goes through s / (1 + s) first, so that better
     matches keep the larger score."""
-    a = S.bm25(texts(spark, d), probes(spark), 30).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
-    return S.fuse(a, S.coverage(texts(spark, d), probes(spark), 30), 10)
+    a = I.bm25(index(spark, d), probes(spark), None).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
+    return S.fuse(a, S.coverage(texts(spark, d), probes(spark), None), 10)
+
+
+def search_hybrid(spark, d):
+    """BM25 through s / (1 + s) and the cosine of hashed features, weights 0.42 and
+    0.48, over all passages that either side finds."""
+    a = I.bm25(index(spark, d), probes(spark), None).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
+    return S.fuse(a, S.hashed_nearest(S.feature_hashes(texts(spark, d)), probes(spark)), 10)
 
 
 def search_reference_scores(spark, d):
     """BM25 with the inverted magnitude 1 / (1 + s), in the order of BM25."""
-    return S.bm25(texts(spark, d), probes(spark), 10).select("query_id", "doc_id", "rank", F.round(1 / (1 + F.col("score")), 6).alias("score"))
+    return search_bm25(spark, d).select("query_id", "doc_id", "rank", F.round(1 / (1 + F.col("score")), 6).alias("score"))
 
 
 def search_section_boost(spark, d):
-    """The coverage score with a boost for sections that fit the query."""
-    hits = S.coverage(texts(spark, d), probes(spark), 30).join(probes(spark), "query_id").join(documents(spark, d).select("doc_id", F.lower(F.coalesce("section", F.lit(""))).alias("section")), "doc_id")
+    """The thirty best passages by the coverage score with a boost for sections
+    that fit the query."""
+    hits = S.coverage(texts(spark, d), probes(spark), None).join(probes(spark), "query_id").join(documents(spark, d).select("doc_id", F.lower(F.coalesce("section", F.lit(""))).alias("section")), "doc_id")
     q, s = F.lower("query"), F.col("section")
     boost = F.when(s == "", 0.0).when(q.rlike("method|approach|implementation|algorithm") & s.rlike("method|approach|implementation"), 0.08).when(q.rlike("future|extend|extension|limitation|challenge") & s.rlike("future|limitation|discussion|conclusion"), 0.08)
     boost = boost.when(q.rlike("evaluate|result|experiment|metric") & s.rlike("result|evaluation|experiment"), 0.07).when(s.rlike("abstract|introduction|conclusion"), 0.035).otherwise(0.0)
-    return hits.select("query_id", "doc_id", "score", F.round(boost, 6).alias("boost"), F.round(F.col("score") + boost, 6).alias("boosted"))
+    boosted = hits.select("query_id", "doc_id", "score", F.round(boost, 6).alias("boost"), F.round(F.col("score") + boost, 6).alias("boosted"))
+    return R.top_k(boosted, ["query_id"], [F.desc("boosted"), F.col("doc_id")], 30)
 
 
 def search_overlap_by_paper(spark, d):
     """Largest share of the query's tokens in one passage of each paper, top five."""
-    from lectern.operators import relational as R
-
     q = probes(spark).select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("want"))
     x = texts(spark, d).where("paper_id is not null").select("paper_id", F.array_distinct(X.tokens(F.col("text"))).alias("have")).crossJoin(F.broadcast(q))
     s = x.select("query_id", "paper_id", F.size(F.array_intersect("want", "have")).alias("hits"), F.size("want").alias("of"))
@@ -106,13 +133,13 @@ def snippets(spark, d):
 
 def sectioned_best(spark, d):
     """The best passage of every section for each probe."""
-    h = S.coverage(texts(spark, d), probes(spark), 200).join(documents(spark, d).select("doc_id", "section"), "doc_id").where("section is not null")
+    h = S.coverage(texts(spark, d), probes(spark), None).join(documents(spark, d).select("doc_id", "section"), "doc_id").where("section is not null")
     w = Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "doc_id")
     return h.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "section", "doc_id", "score")
 
 
 QUERIES = {
-    "search_bm25": search_bm25, "search_coverage": search_coverage, "search_fused": search_fused, "search_inverted_score": search_reference_scores, "search_section_boost": search_section_boost,
+    "search_bm25": search_bm25, "search_unindexed": search_unindexed, "search_filtered": search_filtered, "search_coverage": search_coverage, "search_fused": search_fused, "search_hybrid": search_hybrid, "search_inverted_score": search_reference_scores, "search_section_boost": search_section_boost,
     "search_overlap_by_paper": search_overlap_by_paper, "search_feature_hashing": feature_hashing, "search_metadata_boost": metadata_boost, "search_evidence_quality": evidence_quality,
     "search_nearest_exact": nearest_exact, "search_nearest_judged": nearest_judged, "search_snippets": snippets, "search_best_by_section": sectioned_best,
 }
@@ -128,16 +155,23 @@ _COV = f"""qq AS (SELECT query_id, query, list_distinct({_TOK('query')}) terms F
 _NN = """c AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), nn AS (SELECT vec_id, neighbour, cosine, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS INTEGER) rank FROM c QUALIFY rank <= 10)"""
 _HAS = lambda *w: "regexp_matches(lower(text), '" + "|".join(w) + "')"
+_FH = lambda key, text, rel: f"""(WITH t AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+')) token FROM {rel}), h AS (SELECT {key}, sha256(token) h FROM t),
+    s AS (SELECT {key}, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS INTEGER) bucket, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) v FROM h GROUP BY 1, 2)
+    SELECT {key}, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY {key})), 6) AS weight FROM s WHERE v <> 0)"""
 SQL = {
+    "search_hybrid": f"""WITH {_BM}, a AS (SELECT query_id, doc_id, round(score / (1 + score), 6) a FROM s), fd AS {_FH('doc_id', 'text', 'documents')}, fq AS {_FH('query_id', 'query', _Q)},
+        b AS (SELECT query_id, doc_id, round(sum(fd.weight * fq.weight), 6) b FROM fd JOIN fq USING (bucket) GROUP BY 1, 2 HAVING round(sum(fd.weight * fq.weight), 6) > 0),
+        f AS (SELECT query_id, doc_id, coalesce(a, 0.0) a, coalesce(b, 0.0) b, round(greatest(0.0, least(1.0, coalesce(a, 0.0) * 0.42::DOUBLE + coalesce(b, 0.0) * 0.48::DOUBLE)), 6) score FROM a FULL JOIN b USING (query_id, doc_id)) """ + _RANK("f", 10, ", a, b"),
     "search_bm25": f"WITH {_BM} " + _RANK("s", 10),
+    "search_unindexed": f"WITH {_BM} " + _RANK("s", 10),
+    "search_filtered": f"""WITH {_BM}, ok AS (SELECT doc_id FROM documents WHERE lower(section) IN ('results', 'discussion') AND paper_id IN (SELECT paper_id FROM {PAPERS} WHERE pub_year >= 2015)), f AS (SELECT s.* FROM s JOIN ok USING (doc_id)) """ + _RANK("f", 10),
     "search_coverage": f"WITH {_COV} " + _RANK("cov", 10),
-    "search_fused": f"""WITH {_BM}, {_COV}, a AS (SELECT query_id, doc_id, round(score / (1 + score), 6) a FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
-        b AS (SELECT query_id, doc_id, score b FROM cov QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
+    "search_fused": f"""WITH {_BM}, {_COV}, a AS (SELECT query_id, doc_id, round(score / (1 + score), 6) a FROM s), b AS (SELECT query_id, doc_id, score b FROM cov),
         f AS (SELECT query_id, doc_id, coalesce(a, 0.0) a, coalesce(b, 0.0) b, round(greatest(0.0, least(1.0, coalesce(a, 0.0) * 0.42::DOUBLE + coalesce(b, 0.0) * 0.48::DOUBLE)), 6) score FROM a FULL JOIN b USING (query_id, doc_id)) """ + _RANK("f", 10, ", a, b"),
     "search_inverted_score": f"WITH {_BM} SELECT query_id, doc_id, rank, round(1 / (1 + score), 6) AS score FROM (" + _RANK("s", 10) + ")",
-    "search_section_boost": f"""WITH {_COV}, h AS (SELECT cov.query_id, doc_id, score, lower(query) q, lower(coalesce(section, '')) s FROM cov JOIN qq USING (query_id) JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY cov.query_id ORDER BY score DESC, doc_id) <= 30),
+    "search_section_boost": f"""WITH {_COV}, h AS (SELECT cov.query_id, doc_id, score, lower(query) q, lower(coalesce(section, '')) s FROM cov JOIN qq USING (query_id) JOIN documents USING (doc_id)),
         b AS (SELECT *, CASE WHEN s = '' THEN 0.0 WHEN regexp_matches(q, 'method|approach|implementation|algorithm') AND regexp_matches(s, 'method|approach|implementation') THEN 0.08 WHEN regexp_matches(q, 'future|extend|extension|limitation|challenge') AND regexp_matches(s, 'future|limitation|discussion|conclusion') THEN 0.08
-        WHEN regexp_matches(q, 'evaluate|result|experiment|metric') AND regexp_matches(s, 'result|evaluation|experiment') THEN 0.07 WHEN regexp_matches(s, 'abstract|introduction|conclusion') THEN 0.035 ELSE 0.0 END::DOUBLE boost FROM h) SELECT query_id, doc_id, score, boost, round(score + boost, 6) AS boosted FROM b""",
+        WHEN regexp_matches(q, 'evaluate|result|experiment|metric') AND regexp_matches(s, 'result|evaluation|experiment') THEN 0.07 WHEN regexp_matches(s, 'abstract|introduction|conclusion') THEN 0.035 ELSE 0.0 END::DOUBLE boost FROM h) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, score, boost, round(score + boost, 6) AS boosted FROM b) QUALIFY rank <= 30""",
     "search_overlap_by_paper": f"""WITH qq AS (SELECT query_id, list_distinct({_TOK('query')}) want FROM {_Q}), b AS (SELECT query_id, paper_id, max(len(list_intersect(want, {_TOK('text')}))) hits, max(len(want)) n FROM documents, qq WHERE paper_id IS NOT NULL GROUP BY 1, 2)
         SELECT query_id, paper_id, CAST(hits AS INTEGER) AS hits, CAST(n AS INTEGER) AS "of", CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, paper_id) AS INTEGER) AS rank FROM b WHERE hits > 0 QUALIFY rank <= 5""",
     "search_feature_hashing": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) token FROM documents), h AS (SELECT doc_id, sha256(token) h FROM t),
@@ -153,6 +187,6 @@ SQL = {
     "search_nearest_judged": f"""WITH {_NN}, h AS (SELECT nn.*, a.label own, CASE WHEN a.label = b.label THEN 1 ELSE 0 END hit FROM nn JOIN embeddings a ON a.vec_id = nn.vec_id JOIN embeddings b ON b.vec_id = nn.neighbour),
         per AS (SELECT vec_id, own, sum(hit) hits, min(CASE WHEN hit = 1 THEN rank END) f, sum(hit / log2(rank + 1.0::DOUBLE)) dcg FROM h GROUP BY 1, 2)
         SELECT own AS label, count(*) AS queries, round(avg(hits / 10), 6) AS precision, round(avg(coalesce(1 / f, 0.0)), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM range(1, 11) t(i))), 6) AS ndcg FROM per GROUP BY 1""",
-    "search_best_by_section": f"""WITH {_COV}, h AS (SELECT query_id, doc_id, score FROM cov QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 200)
-        SELECT query_id, section, doc_id, score FROM h JOIN documents USING (doc_id) WHERE section IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, doc_id) = 1""",
+    "search_best_by_section": f"""WITH {_COV}
+        SELECT query_id, section, doc_id, score FROM cov JOIN documents USING (doc_id) WHERE section IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, doc_id) = 1""",
 }

@@ -23,7 +23,7 @@ def word_counts(spark, d):
 
 def sentence_counts(spark, d):
     s = X.sentences(F.col("text"))
-    return texts(spark, d).where("text is not null and lang = 'en'").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
+    return texts(spark, d).where("text is not null").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
 
 
 def first_heading(spark, d):
@@ -54,9 +54,8 @@ def date_years(spark, d):
 
 def topics_in_text(spark, d):
     """Controlled topics by texts: one scan, an array of the topics found."""
-    low = F.lower("text")
-    found = F.array(*[F.when(low.rlike("|".join(X.phrase_pattern(t) for t in terms)), F.lit(topic)) for topic, terms in X.TOPIC_TERMS.items()])
-    return texts(spark, d).where("text is not null").select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("topic"))
+    lines = texts(spark, d).where("text is not null").select("doc_id", X.token_line(F.col("text")).alias("line"))
+    return lines.select("doc_id", F.explode(X.topics_of(F.col("line"))).alias("topic"))
 
 
 def topic_scores(spark, d):
@@ -64,9 +63,7 @@ def topic_scores(spark, d):
     topic, 0.45 for every passage that names it; kept from 1.35."""
     named = topics_in_text(spark, d).join(documents(spark, d).select("doc_id", "paper_id"), "doc_id").where("paper_id is not null").select("paper_id", "topic", F.lit(45).alias("points"))
     own = papers(spark, d).select("paper_id", F.explode("topics").alias("topic"), F.lit(280).alias("points"))
-    low = F.lower("title")
-    found = F.array(*[F.when(low.rlike("|".join(X.phrase_pattern(t) for t in terms)), F.lit(topic)) for topic, terms in X.TOPIC_TERMS.items()])
-    title = papers(spark, d).select("paper_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("topic"), F.lit(240).alias("points"))
+    title = papers(spark, d).select("paper_id", F.explode(X.topics_of(X.token_line(F.col("title")))).alias("topic"), F.lit(240).alias("points"))
     s = named.unionByName(own).unionByName(title).groupBy("paper_id", "topic").agg(F.sum("points").alias("points")).where("points >= 135")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("points"), "topic"))).where("rank <= 8")
 
@@ -94,8 +91,7 @@ def cleaned_text(spark, d):
 
 def query_expansion(spark, d):
     """What the questions also ask for."""
-    low = F.lower(F.regexp_replace("question", "generation|forests", "machine learning"))
-    return cases(spark, d).where("question is not null").select("case_id", F.array_join(X.expansions(low), "|").alias("additions")).where("additions <> ''")
+    return cases(spark, d).where("question is not null").select("case_id", F.array_join(X.expansions(F.col("question")), "|").alias("additions")).where("additions <> ''")
 
 
 def term_postings(spark, d):
@@ -116,10 +112,13 @@ QUERIES = {
 }
 
 
-def _re(terms):
+_LINE = lambda c: f"(' ' || trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) || ' ')"
+
+
+def _has(line, terms):
     import re
 
-    return "|".join("(^|[^a-z0-9])" + r"[ \t\n\r\f-]+".join(re.findall("[a-z0-9]+", t)) + "([^a-z0-9]|$)" for t in terms)
+    return "(" + " OR ".join(f"contains({line}, ' {' '.join(re.findall('[a-z0-9]+', t))} ')" for t in terms) + ")"
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -128,24 +127,24 @@ _ALIAS = ", ".join(f"('{n}', '{s}')" for s, names in X.SECTION_ALIASES.items() f
 _PLAIN = lambda c: (
     rf"regexp_replace(trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim({c})), '^([0-9]+(\.[0-9]+)*|[ivxlc]+)[.)]?[ \t\n\r\f]+', ''), '&', ' and '), '[_\-—–]+', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')), '[ \t\n\r\f:.;]+$', '')"
 )
-_TOPICS = " UNION ALL ".join("SELECT doc_id, '" + k + "' AS topic FROM documents WHERE regexp_matches(lower(text), '" + _re(v) + "')" for k, v in X.TOPIC_TERMS.items())
-_TITLES = " UNION ALL ".join(f"SELECT paper_id, '{k}' AS topic, 240 AS points FROM {PAPERS} WHERE regexp_matches(lower(title), '{_re(v)}')" for k, v in X.TOPIC_TERMS.items())
+_FOUND = lambda line: "list_filter([" + ", ".join(f"CASE WHEN {_has(line, v)} THEN '{k}' END" for k, v in X.TOPIC_TERMS.items()) + "], lambda x: x IS NOT NULL)"
+_TOPICS = f"SELECT doc_id, unnest({_FOUND('l')}) AS topic FROM (SELECT doc_id, {_LINE('text')} l FROM documents WHERE text IS NOT NULL)"
+_TITLES = f"SELECT paper_id, unnest({_FOUND('l')}) AS topic, 240 AS points FROM (SELECT paper_id, {_LINE('title')} l FROM {PAPERS})"
 _SLUG = "trim(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 65))"
 _WORDS = r"list_filter(string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' '), lambda x: x <> '')"
 _SENT = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), '([.!?]) +([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"
 
 
 def _exp():
-    q = "lower(regexp_replace(question, 'generation|forests', 'machine learning', 'g'))"
-    parts = [f"CASE WHEN regexp_matches({q}, '{_re([p])}') AND NOT regexp_matches({q}, '{_re([m])}') THEN '{m}' END" for p, more in X.QUERY_EXPANSIONS.items() for m in more]
+    parts = [f"CASE WHEN {_has('q', [p])} AND NOT {_has('q', [m])} THEN '{m}' END" for p, more in X.QUERY_EXPANSIONS.items() for m in more]
     lst = f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
-    return f"SELECT case_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS additions FROM (SELECT case_id, {lst} l FROM {QA} WHERE question IS NOT NULL) WHERE len(l) > 0"
+    return f"SELECT case_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS additions FROM (SELECT case_id, {lst} l FROM (SELECT case_id, {_LINE('question')} q FROM {QA} WHERE question IS NOT NULL)) WHERE len(l) > 0"
 
 
 SQL = {
     "text_tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, {_TOK('text')} t FROM documents)",
     "text_words": f"SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(floor(len(w) * 1.3::DOUBLE) AS BIGINT) AS token_estimate FROM (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL)",
-    "text_sentences": f"SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (SELECT doc_id, {_SENT} s FROM documents WHERE text IS NOT NULL AND lang = 'en')",
+    "text_sentences": f"SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (SELECT doc_id, {_SENT} s FROM documents WHERE text IS NOT NULL)",
     "text_first_heading": f"""WITH a(name, section) AS (VALUES {_ALIAS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i FROM documents WHERE text IS NOT NULL),
         h AS (SELECT doc_id, arg_min(section, i) s FROM l JOIN a ON a.name = {_PLAIN('line')} GROUP BY 1) SELECT coalesce(s, 'Unknown') AS inferred, count(*) AS n FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY 1""",
     "text_section_names": f"WITH a(name, s) AS (VALUES {_ALIAS}) SELECT coalesce(a.s, 'Unknown') AS canonical, section, count(*) AS n FROM documents LEFT JOIN a ON a.name = {_PLAIN('section')} GROUP BY 1, 2",

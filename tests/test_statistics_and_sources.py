@@ -82,3 +82,21 @@ def test_cut_reads_what_it_wrote(spark):
     t = cut(spark.range(5), "five")
     assert t.count() == 5
     drop_cut(t)
+
+
+def test_drawn_permutations_agree_with_all_of_them(spark):
+    rows = [(i, float(x)) for i, x in enumerate([3, 1, -1, 2, 4, -2, 1, 1, 2, -1, 3, 0])] + [(99, None)]
+    df = spark.createDataFrame(rows, "u int, x double")
+    exact, drawn = S.sign_flip_test(df, "x").first(), S.sign_flip_test(df, "x", 3, "u", 4000).first()
+    assert drawn.pairs == exact.pairs == 11 and math.isclose(drawn.statistic, exact.statistic) and abs(drawn.p_value - exact.p_value) < 0.02
+    with pytest.raises(ValueError):
+        S.sign_flip_test(df, "x", 3)
+
+
+def test_clusters_widen_a_paired_interval(spark):
+    rows = [(f"{c}-{i}", f"c{c}", float(c % 3), 0.0) for c in range(30) for i in range(20)] + [("n", "c1", None, 1.0)]
+    df = spark.createDataFrame(rows, "u string, c string, a double, b double")
+    alone, tied = S.paired_bootstrap(df, "u", "a", "b", None, 300).first(), S.paired_bootstrap(df, "u", "a", "b", "c", 300).first()
+    assert alone.n == tied.n == 600 and math.isclose(alone.mean, 1.0) and math.isclose(tied.mean, 1.0)
+    assert tied.low < alone.low < 1 < alone.high < tied.high
+    assert S.paired_bootstrap(df.limit(0), "u", "a", "b", None, 10).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from hypothesis import given, settings
@@ -86,3 +87,40 @@ def test_chunks_cover_all_sentences(units):
     covered = sorted({i for a, b in parts for i in range(a, b)})
     assert covered == list(range(len(units)))
     assert all(a < b for a, b in parts) and all(x[0] < y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_index_is_kept_and_agrees_with_the_plain_search(spark, tmp_path):
+    from lectern.operators import indexes as I
+
+    rows = [(1, "red fox and blue whale"), (2, "blue whale blue whale"), (3, None), (4, ""), (5, "a green fox"), (6, "fox fox fox")]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    q = spark.createDataFrame([("a", "fox"), ("b", "blue whale"), ("c", "nothing here"), ("d", None)], "query_id string, query string")
+    index = I.of(docs)
+    plain = sorted(map(tuple, S.bm25(docs, q, 3).collect()))
+    assert sorted(map(tuple, I.bm25(index, q, 3).collect())) == plain == sorted(map(tuple, I.bm25(index, q, 3, small=0).collect()))
+    assert I.of(docs).postings.inputFiles() == index.postings.inputFiles()
+    # a filter comes before the limit, and rarity stays that of all texts
+    some = I.bm25(index, q, 1, among=docs.where("doc_id in (1, 5)").select("doc_id")).where("query_id = 'a'").collect()
+    whole = {r.doc_id: r.score for r in I.bm25(index, q, None).where("query_id = 'a'").collect()}
+    assert len(some) == 1 and some[0].score == whole[some[0].doc_id] and some[0].doc_id in (1, 5)
+    # other files are another version
+    spark.createDataFrame(rows[:2], "doc_id long, text string").write.mode("overwrite").parquet(path)
+    fresh = I.of(spark.read.parquet(path))
+    assert fresh.totals.first().docs == 2
+    with pytest.raises(ValueError):
+        I.load(spark, f"{tmp_path}/none")
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from lectern.operators import indexes as I
+
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none")
+    q = spark.createDataFrame([("a", "fox")], "query_id string, query string")
+    assert I.bm25(I.of(spark.read.parquet(f"{tmp_path}/none")), q, 3).count() == 0
+
+
+def test_phrases_are_whole_tokens(spark):
+    t = spark.createDataFrame([("Data-Driven  design",), ("undata driven",), ("data\ndriven!",), (None,)], "t string")
+    assert [r[0] for r in t.select(X.has_phrase(F.col("t"), "data-driven")).collect()] == [True, False, True, None]
