@@ -164,6 +164,30 @@ def test_mixture_reaches_its_shares(spark):
     assert sum(r.tokens * r.repeats for r in rows) == got["big"].mixed_tokens + got["small"].mixed_tokens
 
 
+def test_places_interleave_the_sources_evenly(spark):
+    docs = spark.createDataFrame([(i, "big" if i % 3 else "small", 50 + i % 7) for i in range(3000)], "doc_id long, source_name string, tokens int")
+    targets = spark.createDataFrame([("big", 0.25, 2), ("small", 0.5, 3)], "source_name string, target_share double, max_repeats int")
+    rows = mixing.mix(docs, targets, slots=600)[0].collect()
+    uses = sorted((p.slot, p.offset, r.source_name, r.tokens) for r in rows for p in r.places)
+    assert len(uses) == sum(r.repeats for r in rows) and len({(s, o, n) for s, o, n, _ in uses}) == len(uses)
+    # every tenth of the mixture has the shares of the whole
+    for lo in range(0, 600, 60):
+        part = [u for u in uses if lo <= u[0] < lo + 60]
+        share = sum(t for _, _, n, t in part if n == "small") / sum(t for *_, t in part)
+        assert abs(share - 2 / 3) < 0.05
+    # a slot holds one source
+    assert len({(s, n) for s, _, n, _ in uses}) == len({s for s, *_ in uses})
+
+
+def test_a_tiny_share_gets_slots_and_runs_agree(spark):
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(50)] + [(i, "b", 10) for i in range(50, 6000)], "doc_id long, source_name string, tokens int")
+    targets = spark.createDataFrame([("a", 0.0001, 1), ("b", 0.9999, 1)], "source_name string, target_share double, max_repeats int")
+    got = {r.source_name: r.mixed_tokens for r in mixing.mix(docs, targets)[1].collect()}
+    assert got["a"] > 0 and got["b"] > 59_000
+    whole = {tuple(r) for r in mixing.schedule(spark, [("x", 0.3), ("y", 1.0)], 1000).collect()}
+    assert whole == {tuple(r) for r in mixing.schedule(spark, [("x", 0.3), ("y", 1.0)], 1000, run=64).collect()} and len(whole) == 1000
+
+
 def test_mixture_never_passes_the_repeats(spark):
     docs = spark.createDataFrame([(1, "a", 10), (2, "b", 1000)], "doc_id long, source_name string, tokens int")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source_name string, target_share double, max_repeats int")
