@@ -26,12 +26,18 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _lines(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(vocabulary: bytes | str):
+    """The encoder of a vocabulary file, by its content or its path."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    vocabulary = _lines(vocabulary) if isinstance(vocabulary, str) else vocabulary
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -41,11 +47,13 @@ def split_words(text) -> F.Column:
 
 
 def word_table(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids): every distinct word, how often it occurs, and its ids."""
+    """(word, n, ids): every distinct word, how often it occurs, and its ids.
+    The vocabulary is read on the driver and sent to the tasks, some 1 MB."""
+    shared = texts.sparkSession.sparkContext.broadcast(_lines(vocabulary))
     counted = texts.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def run(batches):
-        encode = _tokenizer(vocabulary).encode_ordinary
+        encode = _tokenizer(shared.value).encode_ordinary
         for batch in batches:
             ids = pa.array([encode(w) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], ["word", "n", "ids"])
@@ -125,8 +133,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
 def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece) of the vocabulary: 50,256 rows, whatever the corpus."""
-    with open(vocabulary, "rb") as lines:
-        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, lines)]
+    rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, _lines(vocabulary).splitlines())]
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
