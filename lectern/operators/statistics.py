@@ -120,3 +120,35 @@ def threshold_sweep(scored: DataFrame, score: str, truth: str, low: int = 20, hi
     c = bins.join(h, "bin", "left").na.fill(0, ["p", "n"])
     c = c.select("bin", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(Window.partitionBy()).alias("all_p")).where(F.col("bin") >= low)
     return c.select((F.col("bin") / 100).alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_p")), F.lit(0.0)).alias("f1"))
+
+
+def ranked_metrics(run: DataFrame, judged: DataFrame, query: str, item: str, cutoffs: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """(query, k, recall, hit, precision, reciprocal_rank, ndcg) for every query that
+    is judged, also without any result.
+
+    ``run`` is (query, item, rank) from 1, ``judged`` (query, item, grade) with
+    grades above zero for what is relevant; gain is 2^grade - 1.  The best order
+    takes the first of each query's judged grades, largest first."""
+    good = judged.where("grade > 0")
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    most = max(cutoffs)
+    best = good.groupBy(query, "grade").agg(F.count("*").alias("n"))
+    # grades are few: where each grade's run of ranks begins in the best order
+    w = Window.partitionBy(query).orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < most)
+    spots = best.select(query, "grade", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(most)))).alias("rank"))
+    hits = run.where(F.col("rank") <= most).join(good, [query, item])
+    total = good.groupBy(query).agg(F.count("*").alias("relevant"))
+    at = lambda k, value: F.sum(F.when(F.col("rank") <= k, value))
+    discount = F.log2(F.col("rank") + 1.0)
+    got = hits.groupBy(query).agg(F.min("rank").alias("first"), *[at(k, F.lit(1)).alias(f"h{k}") for k in cutoffs], *[at(k, gain / discount).alias(f"d{k}") for k in cutoffs])
+    ideal = spots.groupBy(query).agg(*[at(k, gain / discount).alias(f"i{k}") for k in cutoffs])
+    x = total.join(ideal, query).join(got, query, "left")
+    rows = F.explode(F.array(*[
+        F.struct(
+            F.lit(k).alias("k"), (F.coalesce(f"h{k}", F.lit(0)) / F.col("relevant")).alias("recall"), (F.coalesce(f"h{k}", F.lit(0)) > 0).cast("double").alias("hit"),
+            (F.coalesce(f"h{k}", F.lit(0)) / F.lit(k)).alias("precision"), F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(0.0).alias("reciprocal_rank"),
+            F.coalesce(F.col(f"d{k}") / F.col(f"i{k}"), F.lit(0.0)).alias("ndcg"),
+        ) for k in cutoffs
+    ]))
+    return x.select(query, rows.alias("m")).select(query, "m.*")

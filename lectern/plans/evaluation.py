@@ -9,7 +9,7 @@ from lectern.functions import text as X
 from lectern.operators import answers as A
 from lectern.operators import search as S
 from lectern.operators import statistics as T
-from lectern.plans.catalog import QA, cases, texts
+from lectern.plans.catalog import PAPERS, QA, cases, papers, texts
 from lectern.plans.retrieval import _BM, _Q, _RANK, probes, search_bm25
 from lectern.plans.textops import _SENT, _TOK
 from lectern.session import table
@@ -34,6 +34,24 @@ def answer_points(spark, d):
     return q.select("case_id", F.size("answer_points").alias("points"), A.points_covered(F.col("answer_points"), F.col("question")).alias("covered"))
 
 
+def atomic_claims(spark, d):
+    c = A.atomic_claims(texts(spark, d), "doc_id", "text")
+    return c.groupBy("doc_id").agg(F.count("*").alias("claims"), F.sum(F.length("claim")).alias("characters"))
+
+
+def claim_support(spark, d):
+    """Claims of every question against the passages of the paper it cites."""
+    c = A.atomic_claims(cases(spark, d), "case_id", "question").join(cases(spark, d).select("case_id", F.col("gold_locator.paper_id").alias("paper_id")), "case_id")
+    return A.claim_support(c, texts(spark, d).select("paper_id", "text"), "case_id", "paper_id")
+
+
+def title_containment(spark, d):
+    """Tokens of more than three letters that a question shares with its paper's title."""
+    x = cases(spark, d).where("question is not null").select("case_id", "question", F.col("gold_locator.paper_id").alias("paper_id")).join(papers(spark, d).select("paper_id", "title"), "paper_id")
+    shared, share = A.containment(x, "title", "question", 3)
+    return x.select("case_id", shared.alias("shared"), F.round(share, 6).alias("share"))
+
+
 def citation_support(spark, d):
     """Overlap of each sentence with the one after it: supported from 0.08."""
     s = A.claims(texts(spark, d), "doc_id", "text").withColumn("t", F.array_distinct(X.tokens(F.col("claim"))))
@@ -54,6 +72,20 @@ def wilson_by_category(spark, d):
     return g.select("category", "yes", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+def ranked_metrics(spark, d):
+    """Recall, hits, precision and graded gain at three cutoffs of the nearest ten of
+    every twentieth vector; vectors of its label are relevant, and more so if
+    they are of the same tenth of ids."""
+    from lectern.plans.retrieval import nearest_exact
+
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "label")
+    judged = asked.join(e.select(F.col("vec_id").alias("neighbour"), "label"), "label").where("vec_id <> neighbour")
+    judged = judged.select("vec_id", "neighbour", F.when(F.col("vec_id") % 10 == F.col("neighbour") % 10, 2).otherwise(1).alias("grade"))
+    m = T.ranked_metrics(nearest_exact(spark, d), judged, "vec_id", "neighbour")
+    return m.select("vec_id", "k", *[F.round(c, 6).alias(c) for c in ("recall", "hit", "precision", "reciprocal_rank", "ndcg")])
+
+
 def paired_difference(spark, d):
     """Clicks less views of each user's days, drawn by user."""
     e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "click").cast("double").alias("clicks"), F.count_if(F.col("event_type") == "view").cast("double").alias("views"))
@@ -114,12 +146,16 @@ def majority_label(spark, d):
 
 
 QUERIES = {
-    "qa_answerability": answerable, "qa_claims": claim_counts, "qa_best_sentences": best_sentences, "qa_answer_points": answer_points, "qa_support": citation_support, "qa_question_terms": question_terms,
+    "qa_answerability": answerable, "qa_claims": claim_counts, "qa_best_sentences": best_sentences, "qa_answer_points": answer_points, "qa_support": citation_support, "qa_atomic_claims": atomic_claims, "qa_claim_support": claim_support, "qa_title_containment": title_containment, "stat_ranked_metrics": ranked_metrics,
+    "qa_question_terms": question_terms,
     "stat_wilson": wilson_by_category, "stat_bootstrap": bootstrap_users, "stat_paired_bootstrap": paired_difference, "stat_permutation_drawn": permutation_users, "stat_permutation": permutation_weekdays, "stat_threshold_sweep": centroid_sweep, "stat_paired_runs": paired_runs,
     "stat_percentiles_by_user": latency_percentiles, "stat_majority": majority_label,
 }
 
 _CL = f"cl AS (SELECT * FROM (SELECT doc_id, unnest({_SENT}) claim, generate_subscripts({_SENT}, 1) n FROM documents WHERE text IS NOT NULL))"
+_BARE = r"regexp_replace({x}, '[ \t\n\r\f\v]*\[[^\[\]]+\][ \t\n\r\f\v]*', ' ', 'g')"
+_CLAUSES = rf"flatten(list_transform({_SENT}, lambda s: string_split(regexp_replace(regexp_replace(s, '[ ]*;[ ]+', chr(2), 'g'), ',[ ]+(but|however|whereas|although)[ ]+', chr(2), 'g'), chr(2))))"
+_STRIP = r"regexp_replace(x, '^[ \-:;,.]+|[ \-:;,.]+$', '', 'g')"
 _ZZ = "1.959963984540054::DOUBLE"
 SQL = {
     "qa_answerability": f"""WITH {_BM}, q AS (SELECT query_id, list_distinct({_TOK('query')}) want FROM {_Q}), h AS ({_RANK('s', 10)}),
@@ -141,6 +177,16 @@ SQL = {
     "stat_bootstrap": f"""WITH u AS (SELECT user_id, avg(value) v FROM events GROUP BY user_id), w AS (SELECT rep, v, CAST('0x' || substr(md5('20260712:' || rep || ':' || user_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE x FROM u, range(200) r(rep)),
         k AS (SELECT rep, v, CASE {' '.join(f'WHEN x < {p!r}::DOUBLE THEN {i}' for i, p in enumerate(T.POISSON))} ELSE {len(T.POISSON)} END w FROM w), m AS (SELECT rep, sum(w * v) / sum(w) m FROM k GROUP BY 1)
         SELECT round((SELECT avg(v) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS n FROM m""",
+    "qa_atomic_claims": f"""WITH c AS (SELECT doc_id, {_CLAUSES} cl FROM (SELECT doc_id, {_BARE.format(x='text')} AS text FROM documents WHERE text IS NOT NULL)), k AS (SELECT doc_id, {_STRIP} claim FROM (SELECT doc_id, unnest(cl) x FROM c))
+        SELECT doc_id, count(*) AS claims, CAST(sum(length(claim)) AS BIGINT) AS characters FROM k WHERE len({_TOK('claim')}) >= 4 GROUP BY 1""",
+    "qa_claim_support": f"""WITH q AS (SELECT case_id, gold_locator.paper_id paper_id, question FROM {QA}), c AS (SELECT case_id, paper_id, {_CLAUSES} cl FROM (SELECT case_id, paper_id, {_BARE.format(x='question')} AS text FROM q WHERE question IS NOT NULL)),
+        k AS (SELECT case_id, paper_id, n, {_STRIP} claim FROM (SELECT case_id, paper_id, unnest(cl) x, generate_subscripts(cl, 1) - 1 n FROM c)), t AS (SELECT case_id, paper_id, n, list_distinct({_TOK('claim')}) t FROM k WHERE len({_TOK('claim')}) >= 4),
+        h AS (SELECT DISTINCT paper_id, unnest({_TOK('text')}) token FROM documents WHERE paper_id IS NOT NULL), g AS (SELECT DISTINCT paper_id FROM documents WHERE paper_id IS NOT NULL AND text IS NOT NULL),
+        s AS (SELECT case_id, n, count(*) hits FROM (SELECT case_id, n, paper_id, unnest(t) token FROM t) JOIN h USING (paper_id, token) GROUP BY 1, 2),
+        r AS (SELECT t.case_id, CAST(t.n AS INTEGER) n, t.paper_id, coalesce(hits, 0) / greatest(len(t), 1) o, g.paper_id IS NOT NULL known FROM t LEFT JOIN s ON s.case_id = t.case_id AND s.n = t.n LEFT JOIN g ON g.paper_id = t.paper_id)
+        SELECT case_id, n, paper_id, round(o, 6) AS overlap, CASE WHEN NOT known THEN 'no_source' WHEN o >= 0.8 THEN 'supported' WHEN o >= 0.5 THEN 'partial' ELSE 'unsupported' END AS support FROM r""",
+    "qa_title_containment": f"""WITH x AS (SELECT case_id, list_filter(list_distinct({_TOK('title')}), lambda t: length(t) > 3) a, list_filter(list_distinct({_TOK('question')}), lambda t: length(t) > 3) b FROM (SELECT case_id, question, gold_locator.paper_id paper_id FROM {QA} WHERE question IS NOT NULL) JOIN {PAPERS} USING (paper_id))
+        SELECT case_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END, 6) AS share FROM x""",
     "stat_paired_bootstrap": f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) d, count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'view') x FROM events GROUP BY 1, 2), u AS (SELECT user_id, CAST(sum(x) AS DOUBLE) s, count(*) n FROM e GROUP BY 1),
         w AS (SELECT rep, s, n, CAST('0x' || substr(md5('20260712:' || rep || ':' || user_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE x FROM u, range(200) r(rep)),
         k AS (SELECT rep, s, n, CASE {' '.join(f'WHEN x < {p!r}::DOUBLE THEN {i}' for i, p in enumerate(T.POISSON))} ELSE {len(T.POISSON)} END w FROM w), m AS (SELECT rep, sum(w * s) / sum(w * n) m FROM k GROUP BY 1)
@@ -168,3 +214,17 @@ def _paired():
 
 
 SQL["stat_paired_runs"] = _paired()
+
+
+def _ranked():
+    from lectern.plans.retrieval import _NN
+
+    cut = ", ".join(f"({k})" for k in (3, 5, 10))
+    return f"""WITH {_NN}, j AS (SELECT a.vec_id, b.vec_id neighbour, CASE WHEN a.vec_id % 10 = b.vec_id % 10 THEN 2 ELSE 1 END grade FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+        o AS (SELECT vec_id, grade, row_number() OVER (PARTITION BY vec_id ORDER BY grade DESC) r FROM j), kk(k) AS (VALUES {cut}), h AS (SELECT nn.vec_id, rank r, grade FROM nn JOIN j USING (vec_id, neighbour)), q AS (SELECT vec_id, count(*) n FROM j GROUP BY 1),
+        i AS (SELECT vec_id, k, sum((pow(2.0, grade) - 1) / log2(r + 1.0::DOUBLE)) v FROM o, kk WHERE r <= k GROUP BY 1, 2), g AS (SELECT vec_id, k, count(*) h, min(r) f, sum((pow(2.0, grade) - 1) / log2(r + 1.0::DOUBLE)) v FROM h, kk WHERE r <= k GROUP BY 1, 2)
+        SELECT q.vec_id AS vec_id, i.k AS k, round(coalesce(h, 0) / n, 6) AS recall, CASE WHEN h > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(h, 0) / i.k, 6) AS precision, round(coalesce(1 / f, 0.0), 6) AS reciprocal_rank, round(coalesce(g.v / i.v, 0.0), 6) AS ndcg
+        FROM q JOIN i ON i.vec_id = q.vec_id LEFT JOIN g ON g.vec_id = q.vec_id AND g.k = i.k"""
+
+
+SQL["stat_ranked_metrics"] = _ranked()

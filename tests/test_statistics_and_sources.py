@@ -100,3 +100,27 @@ def test_clusters_widen_a_paired_interval(spark):
     assert alone.n == tied.n == 600 and math.isclose(alone.mean, 1.0) and math.isclose(tied.mean, 1.0)
     assert tied.low < alone.low < 1 < alone.high < tied.high
     assert S.paired_bootstrap(df.limit(0), "u", "a", "b", None, 10).count() == 0
+
+
+def test_ranked_metrics_of_known_cases(spark):
+    run = spark.createDataFrame([("q1", "a", 1), ("q1", "x", 2), ("q1", "b", 3), ("q2", "x", 1), ("q2", "c", 2)], "q string, item string, rank int")
+    judged = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 1), ("q2", "c", 1), ("q2", "d", 1), ("q3", "z", 1), ("q3", "x", 0)], "q string, item string, grade int")
+    got = {(r.q, r.k): r for r in S.ranked_metrics(run, judged, "q", "item", (1, 3)).collect()}
+    two = [got["q1", 3], got["q2", 3]]
+    mean = lambda name: sum(r[name] for r in two) / 2
+    assert (mean("recall"), mean("hit"), mean("precision"), mean("reciprocal_rank")) == (0.75, 1.0, 0.5, 0.75)
+    assert got["q2", 1].hit == 0 and got["q2", 1].reciprocal_rank == 0 and got["q3", 3].recall == 0 == got["q3", 3].ndcg
+    graded = spark.createDataFrame([("q1", "a", 2), ("q1", "b", 1)], "q string, item string, grade int")
+    (r,) = S.ranked_metrics(run, graded, "q", "item", (3,)).collect()
+    assert math.isclose(r.ndcg, 0.9639404333, abs_tol=1e-9)
+    assert S.ranked_metrics(run.limit(0), graded, "q", "item", (3,)).first().ndcg == 0 and S.ranked_metrics(run, graded.limit(0), "q", "item").count() == 0
+
+
+def test_claims_and_their_support(spark):
+    text = "We measured tide gauges carefully [S1]; however small errors remained there. Rivers rose quickly again, but dams held strong waters back [2]. Short."
+    df = spark.createDataFrame([("k", text, "p"), ("n", None, "p"), ("u", "Nothing known supports claims like these", "gone")], "key string, text string, cited string")
+    claims = A.atomic_claims(df, "key", "text")
+    assert [r.claim for r in claims.where("key = 'k'").orderBy("n").collect()] == ["We measured tide gauges carefully", "however small errors remained there", "Rivers rose quickly again", "dams held strong waters back"]
+    passages = spark.createDataFrame([("p", "we measured tide gauges"), ("p", "carefully, errors remained; rivers"), (None, "dams"), ("q", "dams")], "cited string, text string")
+    got = {(r.key, r.n): r.support for r in A.claim_support(claims.join(df.select("key", "cited"), "key"), passages, "key", "cited").collect()}
+    assert got["k", 0] == "supported" and got["k", 2] == "unsupported" and got["u", 0] == "no_source"
