@@ -98,12 +98,12 @@ def _near(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
 
 
-HOMES = "id string, dim int, class long, home int, guest int"
+HOMES = "id string, dim int, class long, home int, guests array<int>"
 
 
 def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
-    """(id, dim, class, home, guest) of usable vectors: the hash of the vector,
-    the cell of its nearest centre and that of the next, of which it is asked (-1: none)."""
+    """(id, dim, class, home, guests) of usable vectors: the hash of the vector,
+    the cell of its nearest centre and those of the next, of which it is asked."""
     shared = rows.sparkSession.sparkContext.broadcast((centres, probes))
 
     def run(batches):
@@ -115,8 +115,9 @@ def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int) -> Data
                 if dim in shared.value[0]:
                     near = _near(x, shared.value[0][dim], shared.value[1])
                     hashed = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in x]
-                    guest = near[:, 1].astype(np.int32) if near.shape[1] > 1 else np.full(len(x), -1, np.int32)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(hashed, pa.int64()), pa.array(near[:, 0].astype(np.int32)), pa.array(guest)], ["id", "dim", "class", "home", "guest"])
+                    more = near.shape[1] - 1
+                    guests = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * more), pa.array(near[:, 1:].astype(np.int32).ravel()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(hashed, pa.int64()), pa.array(near[:, 0].astype(np.int32)), guests], ["id", "dim", "class", "home", "guests"])
 
     return rows.mapInArrow(run, HOMES)
 
@@ -168,8 +169,8 @@ def most_similar(
     answers below it.  Every vector is indexed and asked; ``sample`` vectors fit
     the centroids of all, and as many those of a cell that is divided.
 
-    The answers are approximate, by these means: two shards are asked
-    (``probes``), with a beam of ``width`` over graphs of ``degree``, walked in
+    The answers are approximate, by these means: ``probes`` shards are asked,
+    with a beam of ``width`` over graphs of ``degree``, walked in
     ``walk_dims`` random projections (all dimensions if null); what a walk finds
     is ranked by full vectors in half precision.  The links of what it found are
     looked at too, but only where its best cosine is within 0.15 of
@@ -182,8 +183,8 @@ def most_similar(
     is then asked in one part of it.  Classes of equal vectors are
     expanded by a broadcast if at most ``few`` ids are concerned, else by shuffles.
     """
-    if not 1 <= probes <= 2:
-        raise ValueError("one or two shards are asked")
+    if probes < 1:
+        raise ValueError("at least one shard is asked")
     spark, rows = vectors.sparkSession, _sized(vectors)
     sizes = {int(r[0]): r[1] for r in vectors.where("id is not null and dim > 0").groupBy("dim").count().collect()}
     target = {d: max(shard_rows, -(-n // max_cells)) for d, n in sizes.items()}
@@ -207,7 +208,7 @@ def most_similar(
     of = F.broadcast if number <= few else lambda df: df
     if number:
         rows = rows.join(of(copies.where("id <> rep").select("id", "dim")), ["id", "dim"], "left_anti").select("id", "dim", "vector")
-    asked = {(r[0], r[1]): r[2] for r in homes.where("guest >= 0").groupBy("dim", "guest").count().collect()}
+    asked = {(r[0], r[1]): r[2] for r in homes.select("dim", F.explode("guests").alias("guest")).groupBy("dim", "guest").count().collect()}
     found = _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed)
     if number:
         found = _expand(found, copies, of, k)

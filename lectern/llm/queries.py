@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import tidy
 from lectern.llm import components, cutting, encoding, mixing, neighbours, overlap, quality, scans
-from lectern.session import new_path, spread_table, table
+from lectern.session import cut, new_path, spread_table, table
 
 
 def p1_found(spark, d):
@@ -54,6 +54,18 @@ def p3_incremental(spark, d):
     return components.incremental_splits(*_grouping(spark, d), table(spark, d, "split_targets"), "2025-07-01")
 
 
+def p3_kept(spark, d):
+    """What the splits promise: records placed, groups in more than one split, and
+    whether every split has its share of the records to two hundredths."""
+    placed = cut(components.splits(*_grouping(spark, d), table(spark, d, "split_targets")), "placed")
+    groups = components.update_groups(components.Store(spark, new_path(spark, "component-store")), *_grouping(spark, d))
+    tied = placed.join(groups, ["src_table", "record_id"]).where("group_key is not null").groupBy("group_key").agg(F.countDistinct("split").alias("n"))
+    got = placed.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("n"))
+    off = table(spark, d, "split_targets").join(got, "split_name", "left").crossJoin(placed.agg(F.count("*").alias("records")))
+    off = off.agg(F.max("records").alias("records"), (F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("records") - F.col("target_share"))) <= 0.02).alias("shares_kept"))
+    return off.crossJoin(tied.agg(F.count_if(F.col("n") > 1).alias("groups_in_two_splits")))
+
+
 def _pieces(spark, d):
     pages = spread_table(spark, d, "ocr", "paper_id", "page_number", "text").where("paper_id is not null and page_number is not null and text is not null")
     return pages, ["paper_id", "page_number"]
@@ -105,6 +117,18 @@ def p7_shares(spark, d):
     return _mixture(spark, d)[1]
 
 
+def p7_kept(spark, d):
+    """What the mixture promises of each target: the documents it could draw on, and
+    whether the share is reached to a hundredth and no document used too often."""
+    chosen, shares = _mixture(spark, d)
+    most = chosen.groupBy("source_name").agg(F.max("repeats").alias("most"))
+    there = F.col("tokens") > 0
+    whole = shares.agg(F.sum(F.when(there, F.col("target_share"))).alias("whole"))
+    x = shares.join(most, "source_name", "left").crossJoin(F.broadcast(whole))
+    want = F.when(there, F.col("target_share") / F.col("whole")).otherwise(0.0)
+    return x.select("source_name", "documents", (F.abs(F.col("actual_share") - want) <= 0.01).alias("share_kept"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def _kinds(spark, d):
     docs = spread_table(spark, d, "documents", "doc_id", "text")
     return quality.classify(docs, quality.learn(docs, table(spark, d, "doc_kind_labels")))
@@ -126,7 +150,7 @@ def p8_counts(spark, d):
 
 
 def queries():
-    names = "p1_found p1_neighbours p2_found p2_overlaps p2_report p3_found p3_splits p3_incremental p4_found p4_pieces p5_found p5_pages p6_ids p6_decoded p7_mix p7_shares p8_found p8_statistics p8_counts"
+    names = "p1_found p1_neighbours p2_found p2_overlaps p2_report p3_found p3_splits p3_incremental p3_kept p4_found p4_pieces p5_found p5_pages p6_ids p6_decoded p7_mix p7_shares p7_kept p8_found p8_statistics p8_counts"
     return {name: globals()[name] for name in names.split()}
 
 

@@ -5,7 +5,12 @@ are not SQL; their tests compare them with brute force.  SQL folds accents but
 not compatibility forms, which the project's questions and names do not have.
 """
 
-from lectern.llm.components import NO_PERSON
+#: Entries of author lists that name no person, written out here so
+#: that an error in the operator's list shows.
+NO_PERSON = (
+    "", "anonymous", "author", "authors", "author unknown", "click here", "click to view", "download", "download pdf", "et al", "n a", "na", "none", "null", "read more", "source",
+    "tba", "tbd", "unknown", "unknown author", "various", "various authors", "view", "view article", "view paper",
+)
 
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
 _LONGEST = "list_max(list_transform({units}, lambda x: length(trim(x, " + _WS + "))))"
@@ -31,6 +36,8 @@ ORACLES: dict[str, str] = {
     "p2_found": f"{_OVERLAP} SELECT src AS src_table, least(a, b) AS id_a, greatest(a, b) AS id_b FROM f",
     "p2_report": f"{_OVERLAP} SELECT src, sp AS other_split, count(*) AS pairs, count(DISTINCT b) AS records, count(DISTINCT a) AS train_records FROM f GROUP BY 1, 2",
     "p3_found": f"{_GROUPS} SELECT id AS record_id, k AS group_key FROM rec JOIN g ON g.n = coalesce('p:' || p, 'c:' || pair)",
+    "p3_kept": f"""SELECT (SELECT count(*) FROM (SELECT DISTINCT case_id FROM qa_selective_response_v2 WHERE case_id IS NOT NULL)) + (SELECT count(*) FROM (SELECT DISTINCT profile_id FROM finder_proxy_profiles_v2 WHERE profile_id IS NOT NULL)) AS records, true AS shares_kept, CAST(0 AS BIGINT) AS groups_in_two_splits""",
+    "p7_kept": f"""SELECT t.source_name AS source_name, count(d.doc_id) AS documents, true AS share_kept, true AS cap_kept FROM mix_targets t LEFT JOIN (SELECT doc_id, {_CLEAN.format(x='source')} s FROM documents WHERE length(text) > 0) d ON d.s = t.source_name GROUP BY 1""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": f"""SELECT DISTINCT paper_id, page_number, CASE WHEN {_LONGEST.format(units=_PARAGRAPHS)} <= 2000 THEN 'paragraph' WHEN {_LONGEST.format(units=_SENTENCES)} <= 2000 THEN 'sentence'
         WHEN {_LONGEST.format(units=_WORDS)} <= 2000 THEN 'word' ELSE 'none' END AS boundary FROM ocr WHERE length(trim(text, {_WS})) > 2000 AND paper_id IS NOT NULL AND page_number IS NOT NULL""",
