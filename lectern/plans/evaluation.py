@@ -96,7 +96,7 @@ def paired_difference(spark, d):
 def permutation_users(spark, d):
     """Whether users click more than they view: signs drawn for each user."""
     e = table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "click") - F.count_if(F.col("event_type") == "view")).cast("double").alias("x"))
-    return T.sign_flip_test(e, "x", 20, "user_id", 1000).select("pairs", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+    return T.sign_flip_test(e, "x", 0, "user_id", 1000).select("pairs", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
 def bootstrap_users(spark, d):
