@@ -6,7 +6,10 @@ Yashunin: nodes have a geometric level, each level is a padded ``int32`` array
 greedily through the upper levels and then walks level 0 with a beam.  Inserts
 and searches run for a batch of vectors at a time, so that every step is a few
 numpy calls on the batch; members of one insert batch, which cannot meet in the
-graph, are compared with each other directly.
+graph, are compared with each other directly on the upper levels.  On level 0
+every node is compared with those of its cell, a few hundred nodes about one of
+the centroids of the graph: in a large graph of mostly unlike vectors a walk
+seldom comes upon the few that are alike.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ import numpy as np
 NEVER = np.float32(-np.inf)
 #: Nodes that a descent hands to the level below.
 ENTRIES = 3
+#: Queries times points that one step of a walk keeps in memory.
+SEEN = 1 << 21
+#: Nodes of a cell of the graph on average.
+CELL = 512
 
 
 @dataclass
@@ -28,6 +35,9 @@ class Graph:
     levels: list[tuple[np.ndarray, np.ndarray]]
     slots: list[np.ndarray]  # per level: position -> row in that level's array
     entry: int
+    full: np.ndarray  # the points as cells compare them
+    centres: np.ndarray  # of the cells
+    cells: list[np.ndarray]  # positions
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -37,75 +47,116 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return (rows / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
 
 
-def _beam(points, queries, links, slot, start, start_sim, width, expand, seen=None):
-    """Walk one level from ``start`` ([b, s] positions); the best ``width`` seen."""
-    b = len(queries)
-    rows = np.arange(b)
-    if seen is None:
-        seen = np.zeros((b, len(points)), dtype=bool)
+def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Unit centroids of ``sample`` (unit rows) by spherical k-means."""
+    random = np.random.default_rng(seed)
+    cells = max(1, min(cells, len(sample)))
+    centres = sample[random.choice(len(sample), cells, replace=False)].copy()
+    for _ in range(rounds if cells > 1 else 0):
+        near = (sample @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, sample)
+        empty = np.bincount(near, minlength=cells) == 0
+        total[empty] = sample[random.choice(len(sample), int(empty.sum()))]
+        centres = unit(total)
+    return centres
+
+
+def _nearest(rows, centres):
+    return np.concatenate([(rows[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(rows), 4096)]) if len(rows) else np.zeros(0, int)
+
+
+def _cells(points: np.ndarray, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centroids of small cells of the points and the positions in each, or in
+    one part of it where a cell has more than four times the average."""
+    n = len(points)
+    if n <= 2 * CELL:
+        return points[:1], [np.arange(n)]
+    wanted = n // CELL
+    sample = points[np.random.default_rng(seed).choice(n, min(n, 32 * wanted), replace=False)]
+    centres = fit_centroids(sample, wanted, rounds=4, seed=seed)
+    home = _nearest(points, centres)
+    out, of = [], []
+    for c, members in enumerate(np.split(np.argsort(home, kind="stable"), np.cumsum(np.bincount(home, minlength=len(centres)))[:-1])):
+        for part in np.array_split(members, -(-len(members) // (4 * CELL))) if len(members) else []:
+            out.append(part)
+            of.append(c)
+    return centres[of], out
+
+
+def _best(rows: np.ndarray, points: np.ndarray, k: int, own: bool) -> np.ndarray:
+    """The ``k`` nearest points of each row (not itself), in no order; -1 beyond."""
+    sims = rows @ points.T
+    if own:
+        np.fill_diagonal(sims, NEVER)
+    out = np.full((len(rows), k), -1, dtype=np.int32)
+    k = min(k, len(points) - own)
+    if k > 0:
+        out[:, :k] = np.argpartition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k :]
+    return out
+
+
+def _beam(points, queries, links, slot, start, start_sim, width, expand):
+    """Walk one level from ``start`` ([b, s] positions); the best ``width`` seen.
+
+    What has been seen takes a byte and a number per query and point: many
+    queries go in runs that keep this small."""
+    b, n = len(queries), len(points)
+    run = max(32, SEEN // max(1, n))
+    if b > run:
+        parts = [_beam(points, queries[i : i + run], links, slot, start[i : i + run], start_sim[i : i + run], width, expand) for i in range(0, b, run)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    rows = np.arange(b)[:, None]
+    # flat [b, n]; ``claim`` is read only where it has just been written
+    seen, claim = np.zeros(b * n, dtype=bool), np.empty(b * n, dtype=np.int32)
     ids = np.full((b, width), -1, dtype=np.int32)
     sims = np.full((b, width), NEVER, dtype=np.float32)
     done = np.zeros((b, width), dtype=bool)
     s = min(start.shape[1], width)
     order = np.argsort(-start_sim, axis=1)[:, :s]
-    ids[:, :s] = np.take_along_axis(start, order, 1)
-    sims[:, :s] = np.take_along_axis(start_sim, order, 1)
+    ids[:, :s] = start[rows, order]
+    sims[:, :s] = start_sim[rows, order]
     sims[ids < 0] = NEVER
-    known = ids >= 0
-    seen[np.nonzero(known)[0], ids[known]] = True
-    live = rows
+    seen[(ids + rows * n)[ids >= 0]] = True
+    live = np.arange(b)
     expand = min(expand, width)
     while len(live):
         open_sims = np.where(done[live], NEVER, sims[live])
-        pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if expand < width else np.tile(np.arange(width), (len(live), 1))
-        usable = np.take_along_axis(open_sims, pick, 1) > NEVER
+        pick = np.argpartition(open_sims, width - expand, axis=1)[:, width - expand :] if expand < width else np.tile(np.arange(width), (len(live), 1))
+        usable = open_sims[rows[: len(live)], pick] > NEVER
         going = usable.any(1)
-        live, pick, usable = live[going], pick[going], usable[going]
-        if not len(live):
-            break
+        if not going.all():
+            live, pick, usable = live[going], pick[going], usable[going]
+            if not len(live):
+                break
         done[live[:, None], pick] |= usable
-        from_ids = np.where(usable, ids[live[:, None], pick], 0)
-        near = links[slot[from_ids]].astype(np.int32)
+        near = links[slot[np.where(usable, ids[live[:, None], pick], 0)]]
         near[~usable] = -1
         near = near.reshape(len(live), -1)
-        fresh = near >= 0
-        at = np.nonzero(fresh)
-        old = seen[live[at[0]], near[at]]
-        keep = ~old
-        r, c = at[0][keep], at[1][keep]
-        if not len(r):
+        spot = near + live[:, None] * n
+        at = np.flatnonzero((near >= 0) & ~seen[np.maximum(spot, 0)])
+        spot = spot.ravel()[at]
+        # one neighbour may be reached from two expanded nodes at once
+        claim[spot] = np.arange(len(at), dtype=np.int32)
+        first = claim[spot] == np.arange(len(at), dtype=np.int32)
+        at, spot = at[first], spot[first]
+        if not len(at):
             continue
-        targets = near[r, c]
-        seen[live[r], targets] = True
+        seen[spot] = True
         found = np.full(near.shape, NEVER, dtype=np.float32)
-        found[r, c] = np.einsum("ij,ij->i", points[targets], queries[live[r]])
-        # one neighbour may be reached from two expanded nodes at once
-        both_ids = np.concatenate([ids[live], near], axis=1)
+        found.ravel()[at] = np.einsum("ij,ij->i", points[near.ravel()[at]], queries[live[at // near.shape[1]]])
         both_sims = np.concatenate([sims[live], found], axis=1)
-        both_done = np.concatenate([done[live], np.zeros(near.shape, dtype=bool)], axis=1)
-        if expand > 1:
-            both_sims = _first_only(both_ids, both_sims, width)
-        top = np.argpartition(-both_sims, width - 1, axis=1)[:, :width]
-        ids[live] = np.take_along_axis(both_ids, top, 1)
-        sims[live] = np.take_along_axis(both_sims, top, 1)
-        done[live] = np.take_along_axis(both_done, top, 1)
+        top = np.argpartition(both_sims, both_sims.shape[1] - width, axis=1)[:, both_sims.shape[1] - width :]
+        of = rows[: len(live)]
+        sims[live] = both_sims[of, top]
+        done[live] = np.concatenate([done[live], np.zeros(near.shape, dtype=bool)], axis=1)[of, top]
+        ids[live] = np.concatenate([ids[live], near], axis=1)[of, top]
     order = np.argsort(-sims, axis=1, kind="stable")
-    sims = np.take_along_axis(sims, order, 1)
-    ids = np.where(sims > NEVER, np.take_along_axis(ids, order, 1), -1)
+    sims = sims[rows, order]
+    ids = np.where(sims > NEVER, ids[rows, order], -1)
     return ids, sims
 
 
-def _first_only(ids, sims, width):
-    """Blank the later of equal ids among the newly found part of each row."""
-    part = np.where(sims[:, width:] > NEVER, ids[:, width:], -1)
-    order = np.argsort(part, axis=1, kind="stable")
-    ordered = np.take_along_axis(part, order, 1)
-    again = np.zeros_like(part, dtype=bool)
-    np.put_along_axis(again, order[:, 1:], (ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] >= 0), 1)
-    sims[:, width:][again] = NEVER
-    return sims
-
-
 def _choose(points, ids, sims, degree):
     """The diversity rule: take a candidate only if it is nearer to the node
     than to every neighbour taken before it; candidates come best first."""
@@ -171,13 +222,20 @@ def _batches(n: int, small: int, above: int):
         at += step
 
 
-def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4, seed: int = 7) -> Graph:
+def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4, seed: int = 7, full: np.ndarray | None = None) -> Graph:
     """Insert all rows of ``points`` (unit rows), batch by batch.
 
     ``degree`` is M: upper levels keep M neighbours a node, level 0 twice as
-    many; ``width`` is the beam of the insert search.
+    many; ``width`` is the beam of the insert search.  ``full`` has the unit
+    rows of which ``points`` are projections, if they are.
     """
     n = len(points)
+    full = points if full is None else full
+    centres, cells = _cells(full, seed)
+    mates = np.full((n, degree), -1, dtype=np.int32)
+    for c in cells:
+        got = _best(full[c], full[c], degree, True)
+        mates[c] = np.where(got >= 0, c[got], -1)
     random = np.random.default_rng(seed)
     tall = np.minimum((-np.log(1 - random.random(n)) / np.log(max(2, degree))).astype(int), 6) if n else np.zeros(0, int)
     # tall nodes first, so that a level begins with the nodes of the level above
@@ -198,23 +256,30 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
         room, above = links.shape[1], len(levels[level + 1][0]) if level < top else 0
         for lo, hi in _batches(len(ids), 64, above):
             new = ids[lo:hi]
-            mine = points[new] @ points[new].T
-            np.fill_diagonal(mine, NEVER)
-            k = min(degree, len(new) - 1)
-            near = np.argpartition(-mine, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(new), 0), int)
-            cand, sims = new[near].astype(np.int32), np.take_along_axis(mine, near, 1) if k > 0 else np.zeros((len(new), 0), np.float32)
+            if level:
+                got = _best(points[new], points[new], degree, True)
+                cand = np.where(got >= 0, new[got], -1).astype(np.int32)
+            else:
+                cand = mates[new]
+            sims = np.where(cand >= 0, np.einsum("ijk,ik->ij", points[cand], points[new]), NEVER)
             if lo:
                 # nodes of the level above come first and have no entry from there: they
                 # start at a handful of nodes inserted before
                 start = entry[new] if lo >= above > 0 else np.tile(ids[np.linspace(0, lo - 1, min(lo, 16)).astype(int)].astype(np.int32), (len(new), 1))
                 start_sim = np.where(start >= 0, np.einsum("ijk,ik->ij", points[start], points[new]), NEVER)
                 found, found_sims = _beam(points, points[new], links, slots[level], start, start_sim, width, expand)
+                if not level:  # cells also hold nodes inserted before
+                    sims[(cand[:, :, None] == found[:, None, :]).any(2)] = NEVER
                 cand, sims = np.concatenate([found, cand], 1), np.concatenate([found_sims, sims], 1)
             best = np.argsort(-sims, axis=1, kind="stable")[:, : max(width, 1)]
             cand, sims = np.take_along_axis(cand, best, 1), np.take_along_axis(sims, best, 1)
             cand = np.where(sims > NEVER, cand, -1)
-            chosen = _choose(points, cand, sims, degree) if cand.shape[1] else np.full((len(new), degree), -1, np.int32)
-            links[slots[level][new], :degree] = chosen
+            chosen = _choose(points, cand, sims, degree)
+            # links from nodes of its cell that came before stay while there is room
+            have = links[slots[level][new]]
+            have[(have[:, :, None] == chosen[:, None, :]).any(2)] = -1
+            both = np.concatenate([chosen, have], axis=1)
+            links[slots[level][new]] = both[np.arange(len(new))[:, None], np.argsort(both < 0, axis=1, kind="stable")][:, :room]
             _link_back(points, links, slots[level], new, chosen, room)
         # all nodes that are not of this level descend through it
         rest = order[len(ids) :] if level else order[:0]
@@ -223,15 +288,18 @@ def build(points: np.ndarray, degree: int = 12, width: int = 32, expand: int = 4
             start = entry[new] if level < top else np.full((len(new), 1), ids[0], dtype=np.int32)
             start_sim = np.where(start >= 0, np.einsum("ijk,ik->ij", points[start], points[new]), NEVER)
             entry[new] = _beam(points, points[new], links, slots[level], start, start_sim, ENTRIES, 2)[0]
-    return Graph(points, levels, slots, int(levels[-1][0][0]) if n else -1)
+    return Graph(points, levels, slots, int(levels[-1][0][0]) if n else -1, full, centres, cells)
 
 
-def search(graph: Graph, queries: np.ndarray, width: int = 32, expand: int = 4, own: np.ndarray | None = None, batch: int = 512):
+def search(graph: Graph, queries: np.ndarray, width: int = 32, expand: int = 4, own: np.ndarray | None = None, batch: int = 512, full: np.ndarray | None = None):
     """Best ``width`` (positions, similarities) of each query, best first.
 
     ``own`` gives, for queries that are nodes themselves, their position: the
-    walk then starts there instead of at the top level.
+    walk then starts there.  Others descend from the top level and also start at
+    the nearest nodes of the cell they fall into; ``full`` has the rows of which
+    they are projections, if they are.
     """
+    full = queries if full is None else full
     out_ids, out_sims = [], []
     for lo in range(0, len(queries), batch):
         q = queries[lo : lo + batch]
@@ -243,6 +311,12 @@ def search(graph: Graph, queries: np.ndarray, width: int = 32, expand: int = 4,
                 sim = np.einsum("ijk,ik->ij", graph.points[start], q)
                 start, _ = _beam(graph.points, q, graph.levels[level][1], graph.slots[level], start, sim, min(4, max(1, width)), 2)
                 start = np.where(start >= 0, start, start[:, :1])
+            home, near = _nearest(full[lo : lo + batch], graph.centres), np.full((len(q), ENTRIES), -1, dtype=np.int32)
+            for c in np.unique(home):
+                at = np.nonzero(home == c)[0]
+                got = _best(full[lo + at], graph.full[graph.cells[c]], ENTRIES, False)
+                near[at] = np.where(got >= 0, graph.cells[c][got], -1)
+            start = np.concatenate([start, np.where(near >= 0, near, start[:, :1])], axis=1)
         sim = np.einsum("ijk,ik->ij", graph.points[start], q)
         same = np.sort(start, axis=1)
         if start.shape[1] > 1:

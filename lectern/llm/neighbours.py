@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import hnsw
+from lectern.llm.hnsw import fit_centroids
 from lectern.session import cut, drop_cut
 
 
@@ -48,63 +49,68 @@ def _by_dim(batch: pa.RecordBatch):
         yield int(dim), at[good], x[good]
 
 
-def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Unit centroids of ``sample`` (unit rows) by spherical k-means."""
-    random = np.random.default_rng(seed)
-    cells = max(1, min(cells, len(sample)))
-    centres = sample[random.choice(len(sample), cells, replace=False)].copy()
-    for _ in range(rounds if cells > 1 else 0):
-        near = (sample @ centres.T).argmax(1)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, sample)
-        empty = np.bincount(near, minlength=cells) == 0
-        total[empty] = sample[random.choice(len(sample), int(empty.sum()))]
-        centres = hnsw.unit(total)
-    return centres
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), dim)
 
 
 def _pack(rows: np.ndarray) -> list[bytes]:
-    """Each row in half precision, scaled by a power of two, as two compressed
-    planes of bytes.  That is enough for ranks to 1e-3 of a cosine and halves
-    what a shuffle of plain floats would write."""
+    """Each row scaled by a power of two: as signed bytes where these hold it
+    without loss, else in half precision as two compressed planes of bytes.  That
+    is enough for ranks to 1e-3 of a cosine; a shuffle of plain floats would
+    write twice to four times as much."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
     most = np.abs(rows).max(axis=1, keepdims=True)
-    scaled = rows * np.exp2(-np.ceil(np.log2(np.where(most > 0, most, 1))))
-    planes = np.ascontiguousarray(scaled.astype(np.float16).view(np.uint8).reshape(len(rows), -1, 2).transpose(0, 2, 1))
-    return [squeeze(p.tobytes()) for p in planes]
+    power = np.maximum(np.ceil(np.log2(np.where(most > 0, most, 1))), -120)
+    whole = rows * np.exp2(6 - power)
+    whole = np.where(np.abs(whole).max(axis=1, keepdims=True) * 2 <= 127, whole * 2, whole)
+    exact = (whole == np.rint(whole)).all(1)
+    out = np.empty(len(rows), dtype=object)
+    out[exact] = [BYTES + r.tobytes() for r in whole[exact].astype(np.int8)]
+    scaled = rows[~exact] * np.exp2(-power[~exact])
+    planes = np.ascontiguousarray(scaled.astype(np.float16).view(np.uint8).reshape(len(scaled), rows.shape[1], 2).transpose(0, 2, 1))
+    out[~exact] = [HALVES + squeeze(p.tobytes()) for p in planes]
+    return out.tolist()
+
+
+#: How a row is packed.
+BYTES, HALVES = b"b", b"h"
 
 
 def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
     import zstandard
 
     loosen = zstandard.ZstdDecompressor().decompress
-    planes = np.frombuffer(b"".join(map(loosen, packed)), dtype=np.uint8).reshape(len(packed), 2, dim)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float16).reshape(len(packed), dim)
+    out = np.empty((len(packed), dim), dtype=np.float16)
+    exact = np.fromiter((p[:1] == BYTES for p in packed), dtype=bool, count=len(packed))
+    out[exact] = np.frombuffer(b"".join(p[1:] for p in packed if p[:1] == BYTES), dtype=np.int8).reshape(-1, dim)
+    planes = np.frombuffer(b"".join(loosen(p[1:]) for p in packed if p[:1] == HALVES), dtype=np.uint8).reshape(-1, 2, dim)
+    out[~exact] = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float16).reshape(-1, dim)
+    return out
 
 
-def _near(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    """The ``probes`` nearest centres of each row, best first."""
+def _near(x: np.ndarray, centres: np.ndarray, probes: int, margin: float | None = None) -> np.ndarray:
+    """The ``probes`` nearest centres of each row, best first; -1 for those
+    further than ``margin`` (over the root of the size) behind the nearest."""
     if len(centres) == 1:
         return np.zeros((len(x), 1), np.int64)
     sims = hnsw.unit(x) @ centres.T
     probes = min(probes, len(centres))
     top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+    got = np.take_along_axis(sims, top, 1)
+    order = np.argsort(-got, axis=1, kind="stable")
+    top, got = np.take_along_axis(top, order, 1), np.take_along_axis(got, order, 1)
+    return top if margin is None else np.where(got >= got[:, :1] - margin / x.shape[1] ** 0.5, top, -1)
 
 
 HOMES = "id string, dim int, class long, home int, guests array<int>"
 
 
-def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
+def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int, margin: float | None = None) -> DataFrame:
     """(id, dim, class, home, guests) of usable vectors: the hash of the vector,
     the cell of its nearest centre and those of the next, of which it is asked."""
-    shared = rows.sparkSession.sparkContext.broadcast((centres, probes))
+    shared = rows.sparkSession.sparkContext.broadcast((centres, probes, margin))
 
     def run(batches):
         import xxhash
@@ -113,19 +119,34 @@ def _homes(rows: DataFrame, centres: dict[int, np.ndarray], probes: int) -> Data
             ids = batch.column("id")
             for dim, at, x in _by_dim(batch):
                 if dim in shared.value[0]:
-                    near = _near(x, shared.value[0][dim], shared.value[1])
+                    near = _near(x, shared.value[0][dim], *shared.value[1:])
                     hashed = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in x]
-                    more = near.shape[1] - 1
-                    guests = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * more), pa.array(near[:, 1:].astype(np.int32).ravel()))
+                    more = near[:, 1:].astype(np.int32)
+                    guests = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((more >= 0).sum(1))]).astype(np.int32)), pa.array(more[more >= 0]))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(hashed, pa.int64()), pa.array(near[:, 0].astype(np.int32)), guests], ["id", "dim", "class", "home", "guests"])
 
     return rows.mapInArrow(run, HOMES)
 
 
+def _sample(sample: int, parts: int) -> int:
+    """Vectors on which ``parts`` centroids are fitted: 32 each at least."""
+    return max(sample, 32 * parts)
+
+
+#: Centroids fitted at once; where more are wanted their cells are divided.
+AT_ONCE = 1024
+
+
+def _parts(rows: int, target: int, sample: int) -> tuple[int, float]:
+    """The parts of a cell of so many rows and the share of these to look at."""
+    parts = min(AT_ONCE, round(rows / target))
+    return parts, min(1.0, 1.1 * _sample(sample, parts) / rows)
+
+
 def _fit(rows: DataFrame, centres: dict[int, np.ndarray], parts: dict[tuple[int, int], tuple[int, float]], sample: int, seed: int) -> dict[int, np.ndarray]:
     """``centres`` with the cells of ``parts`` ((dim, cell) -> number of parts,
     share of its rows to look at) replaced by centroids fitted on at most
-    ``sample`` vectors of the cell."""
+    :func:`_sample` vectors of the cell."""
     shared = rows.sparkSession.sparkContext.broadcast((centres, parts))
 
     def pick(batches):
@@ -144,8 +165,9 @@ def _fit(rows: DataFrame, centres: dict[int, np.ndarray], parts: dict[tuple[int,
 
     def fit(key, table):
         dim, cell = key[0].as_py(), key[1].as_py()
-        x = hnsw.unit(_unpack(table.column("data").to_pylist()[:sample], dim))
-        found = fit_centroids(x, shared.value[1][dim, cell][0], seed=seed)
+        wanted = shared.value[1][dim, cell][0]
+        x = hnsw.unit(_unpack(table.column("data").to_pylist()[: _sample(sample, wanted)], dim))
+        found = fit_centroids(x, wanted, seed=seed)
         return pa.table({"dim": pa.array([dim] * len(found), pa.int32()), "cell": pa.array([cell] * len(found), pa.int32()), "centre": pa.array([r.tobytes() for r in found], pa.binary())})
 
     got = rows.mapInArrow(pick, "dim int, cell int, data binary").groupBy("dim", "cell").applyInArrow(fit, "dim int, cell int, centre binary").collect()
@@ -158,26 +180,31 @@ def _fit(rows: DataFrame, centres: dict[int, np.ndarray], parts: dict[tuple[int,
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 16_384, probes: int = 2, sample: int = 8192,
-    degree: int = 6, width: int = 12, expand: int = 4, walk_dims: int | None = 64, few: int = 100_000, seed: int = 5,
+    vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, shard_rows: int = 4096, max_cells: int = 16_384, probes: int = 8, margin: float | None = 0.64, sample: int = 8192,
+    degree: int = 8, width: int = 16, expand: int = 4, walk_dims: int | None = 64, few: int = 100_000, seed: int = 5,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other ids of each.
 
     ``vectors`` is (id, dim, vector); only vectors of equal ``dim`` are
     compared.  Unusable rows (see :func:`usable`) take no part, repeats of an id
     count once.  Ties of cosine go to the smaller id.  ``min_cosine`` drops
-    answers below it.  Every vector is indexed and asked; ``sample`` vectors fit
-    the centroids of all, and as many those of a cell that is divided.
-
-    The answers are approximate, by these means: ``probes`` shards are asked,
-    with a beam of ``width`` over graphs of ``degree``, walked in
+    answers below it.  Every vector is indexed and asked; ``sample`` vectors, or
+    32 a centroid, fit the centroids of all, and as many those of a cell that is
+    divided.
+
+    The answers are approximate, by these means: a vector is asked of the shards
+    whose centroids are within ``margin`` / sqrt(dim) of its nearest, ``probes``
+    at most (of all these if null), since like vectors differ by about as much in
+    their cosines with two centroids; the walks have a beam of ``width`` over graphs of ``degree``, walked in
     ``walk_dims`` random projections (all dimensions if null); what a walk finds
     is ranked by full vectors in half precision.  The links of what it found are
     looked at too, but only where its best cosine is within 0.15 of
     ``min_cosine``; a query further off seldom has an answer above it.
 
     A shard has ``shard_rows`` vectors on average and at most three times as
-    many; should that ask for more than ``max_cells`` centroids of a size of
+    many.  The more cells, the more often like vectors lie in different ones, so
+    beyond 24 cells shards grow by the root of the vectors, to eight times as many;
+    should that ask for more than ``max_cells`` centroids of a size of
     vectors, which every task gets, shards grow in proportion instead.  A cell
     whose vectors centroids cannot tell apart is divided by hash, and a vector
     is then asked in one part of it.  Classes of equal vectors are
@@ -187,15 +214,15 @@ def most_similar(
         raise ValueError("at least one shard is asked")
     spark, rows = vectors.sparkSession, _sized(vectors)
     sizes = {int(r[0]): r[1] for r in vectors.where("id is not null and dim > 0").groupBy("dim").count().collect()}
-    target = {d: max(shard_rows, -(-n // max_cells)) for d, n in sizes.items()}
-    first = {(d, 0): (round(n / target[d]), min(1.0, 1.1 * sample / n)) for d, n in sizes.items() if round(n / target[d]) > 1}
+    target = {d: _target(n, shard_rows, max_cells) for d, n in sizes.items()}
+    first = {(d, 0): _parts(n, target[d], sample) for d, n in sizes.items() if round(n / target[d]) > 1}
     centres = {d: np.zeros((1, d), np.float32) for d in sizes}
     if first:
         centres = _fit(rows, centres, first, sample, seed)
     for last in (False, False, True):
-        homes = cut(_homes(rows, centres, probes), "vector-homes")
+        homes = cut(_homes(rows, centres, probes, margin), "vector-homes")
         fill = {(r[0], r[1]): r[2] for r in homes.groupBy("dim", "home").count().collect()}
-        big = {(d, c): (round(m / target[d]), min(1.0, 1.1 * sample / m)) for (d, c), m in fill.items() if m > 3 * target[d]}
+        big = {(d, c): _parts(m, target[d], sample) for (d, c), m in fill.items() if m > 3 * target[d]}
         if last or not big:
             break
         drop_cut(homes)
@@ -209,7 +236,7 @@ def most_similar(
     if number:
         rows = rows.join(of(copies.where("id <> rep").select("id", "dim")), ["id", "dim"], "left_anti").select("id", "dim", "vector")
     asked = {(r[0], r[1]): r[2] for r in homes.select("dim", F.explode("guests").alias("guest")).groupBy("dim", "guest").count().collect()}
-    found = _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed)
+    found = _search(rows, centres, fill, asked, target, 6 * shard_rows, k, min_cosine, probes, margin, degree, width, expand, walk_dims, seed)
     if number:
         found = _expand(found, copies, of, k)
     # an id asked of several shards: its best answers of all
@@ -217,6 +244,11 @@ def most_similar(
     return found.repartition("id").dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _target(rows: int, shard_rows: int, max_cells: int) -> int:
+    """Vectors of a shard on average (see :func:`most_similar`)."""
+    return max(shard_rows, min(8 * shard_rows, round((rows * shard_rows / 24) ** 0.5)), -(-rows // max_cells))
+
+
 def _expand(found: DataFrame, copies: DataFrame, of, k: int) -> DataFrame:
     """Answers among the smallest ids of classes as answers among all ids:
     ``copies`` is (dim, rep, id) with every id of a class of two or more.  Of a
@@ -230,16 +262,16 @@ def _expand(found: DataFrame, copies: DataFrame, of, k: int) -> DataFrame:
     return wide.unionByName(same).where("id <> neighbour")
 
 
-def _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, width, expand, walk_dims, seed) -> DataFrame:
+def _search(rows, centres, fill, asked, target, block, k, min_cosine, probes, margin, degree, width, expand, walk_dims, seed) -> DataFrame:
     """(id, neighbour, cosine) of all shards' answers.  ``fill`` and ``asked``
     count the vectors stored in a cell and asked of it from elsewhere; of these a
-    block has six times the target at most on average."""
+    block has ``block``, or twice the target, at most on average."""
     first, blocks, parts, shards = {}, {}, {}, 0
     for dim in sorted(centres):
         for c in range(len(centres[dim])):
             first[dim, c] = shards
             parts[dim, c] = -(-fill.get((dim, c), 0) // (3 * target[dim])) or 1
-            blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (6 * target[dim] * parts[dim, c])))
+            blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (max(block, 2 * target[dim]) * parts[dim, c])))
             shards += parts[dim, c] * blocks[dim, c]
     shared = rows.sparkSession.sparkContext.broadcast((centres, first, blocks, parts))
 
@@ -252,7 +284,7 @@ def _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, w
             ids = batch.column("id").to_pylist()
             for dim, at, x in _by_dim(batch):
                 shard, row, own = [], [], []
-                for i, (n, cells) in enumerate(zip(at.tolist(), _near(x, centres[dim], probes).tolist())):
+                for i, (n, cells) in enumerate(zip(at.tolist(), _near(x, centres[dim], probes, margin).tolist())):
                     h = xxhash.xxh64_intdigest(ids[n], dim)
                     if h in seen:
                         continue
@@ -264,6 +296,8 @@ def _search(rows, centres, fill, asked, target, k, min_cosine, probes, degree, w
                         row.append(i)
                         own.append(1 if b else 2)
                     for c in cells[1:]:
+                        if c < 0:
+                            break
                         to = (dim, c)
                         shard.append(first[to] + h % (parts[to] * blocks[to]))
                         row.append(i)
@@ -335,12 +369,12 @@ def _answer(ids, own, x, k, min_cosine, degree, width, expand, project) -> pa.Ta
     out_id, out_near, out_cos = [], [], []
     if len(full):
         walk = full if project is None else hnsw.unit(full @ project)
-        graph = hnsw.build(walk, degree, width, expand)
+        graph = hnsw.build(walk, degree, width, expand, full=full)
         foreign = [b for b in asked if b not in node_of]
         guests = hnsw.unit(np.frombuffer(b"".join(foreign), np.float16).reshape(len(foreign), -1).astype(np.float32)) if foreign else full[:0]
         here = np.asarray([i for i in range(len(full)) if not mine.isdisjoint(members[i]) or x[stored[i]].tobytes() in asked], dtype=np.int64)
         near, _ = hnsw.search(graph, walk[here], width, expand, own=here)
-        far, _ = hnsw.search(graph, guests if project is None else hnsw.unit(guests @ project), width, expand)
+        far, _ = hnsw.search(graph, guests if project is None else hnsw.unit(guests @ project), width, expand, full=guests)
         homes = [[y for y in members[i] if y in mine] + asked.get(x[stored[i]].tobytes(), []) for i in here]
         for queries, found, who in ((full[here], near, homes), (guests, far, [asked[b] for b in foreign])):
             for lo in range(0, len(queries), 1024):

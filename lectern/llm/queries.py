@@ -15,7 +15,7 @@ def p1_found(spark, d):
 
 def p1_neighbours(spark, d):
     """The ten nearest of every vector, whatever their cosine, with a wide beam."""
-    return neighbours.most_similar(neighbours.project_vectors(table(spark, d, "vector_store")), degree=16, width=72, expand=6, walk_dims=None, probes=4)
+    return neighbours.most_similar(neighbours.project_vectors(table(spark, d, "vector_store")), degree=16, width=72, expand=6, walk_dims=None, probes=4, margin=None)
 
 
 def _overlaps(spark, d, rest=True):

@@ -38,8 +38,10 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started.
 
     Workers on this machine get its place in their path; a cluster gets the
-    package as a zip file, once a session."""
+    package as a zip file, once a session.  A task has one core, so matrix
+    products of a worker run in one thread: idle ones would spin."""
     context = spark.sparkContext
+    context.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     have = context.environment.get("PYTHONPATH", "")
     if ROOT in have.split(os.pathsep):
         return

@@ -52,6 +52,29 @@ def test_pairs_match_brute_force_over_shards(spark):
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
 
 
+def test_pairs_among_many_unlike_vectors_in_many_cells(spark):
+    """Few vectors are alike and the samples of centroids hardly see them, as in
+    large tables: a pair is often cut by the border of two cells."""
+    random = np.random.default_rng(11)
+    rest, one = (hnsw.unit(random.standard_normal((n, 64))) for n in (3000, 500))
+    two = hnsw.unit(one + 0.5 / 8 * random.standard_normal(one.shape))
+    x = np.concatenate([rest, one, two]).astype(np.float32)
+    v = spark.createDataFrame([(f"v{i:04d}", 64, [float(a) for a in r]) for i, r in enumerate(x)], "id string, dim int, vector array<float>")
+    got = {(r[0], r[1]) for r in neighbours.similar_pairs(v, 0.65, shard_rows=64, sample=400).collect()}
+    want = {(f"v{3000 + i:04d}", f"v{3500 + i:04d}") for i in range(500)}
+    assert len(got & want) >= 0.97 * len(want)
+
+
+def test_packed_rows_keep_their_directions():
+    random = np.random.default_rng(13)
+    whole = random.integers(-127, 128, (50, 6)) / 512
+    for x in (whole, random.standard_normal((50, 6)), np.concatenate([whole, random.standard_normal((50, 6))]), [[1e-40, 0, 0]], [[128, 1, -128]], np.zeros((0, 6))):
+        x = np.asarray(x, dtype=np.float32)
+        y = neighbours._unpack(neighbours._pack(x), x.shape[1]).astype(np.float32)
+        assert np.abs(hnsw.unit(y) - hnsw.unit(x)).max(initial=0) < 1e-3
+    assert {len(p) for p in neighbours._pack(whole.astype(np.float32))} == {7}
+
+
 def test_hot_copies_and_dirty_vectors(spark):
     same = [1.0, 0.0, 0.0, 0.5]
     rows = [(f"c{i:03d}", 4, same, None, None, None) for i in range(300)]
