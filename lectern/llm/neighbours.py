@@ -273,6 +273,8 @@ def _search(rows, centres, fill, asked, target, block, k, min_cosine, probes, ma
             parts[dim, c] = -(-fill.get((dim, c), 0) // (3 * target[dim])) or 1
             blocks[dim, c] = max(1, -(-asked.get((dim, c), 0) // (max(block, 2 * target[dim]) * parts[dim, c])))
             shards += parts[dim, c] * blocks[dim, c]
+    # larger graphs take a wider beam
+    wide = {d: round(width * min(3.0, max(1.0, 6 * t / block) ** 0.5)) for d, t in target.items()}
     shared = rows.sparkSession.sparkContext.broadcast((centres, first, blocks, parts))
 
     def route(batches):
@@ -310,7 +312,7 @@ def _search(rows, centres, fill, asked, target, block, k, min_cosine, probes, ma
         dim = table.column("dim")[0].as_py()
         ids = np.asarray(table.column("id").to_pylist(), dtype=object)
         project = None if walk_dims is None or walk_dims >= dim else np.random.default_rng(seed).standard_normal((dim, walk_dims)).astype(np.float32)
-        return _answer(ids, np.asarray(table.column("own")), _unpack(table.column("data").to_pylist(), dim), k, min_cosine, degree, width, expand, project)
+        return _answer(ids, np.asarray(table.column("own")), _unpack(table.column("data").to_pylist(), dim), k, min_cosine, degree, wide[dim], expand, project)
 
     routed = rows.mapInArrow(route, "shard int, dim int, own byte, id string, data binary")
     # about a shard a task, however large the tables are
