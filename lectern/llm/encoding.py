@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import cut
+from lectern.session import cut, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges.
@@ -67,8 +67,13 @@ def _replace(common: tuple[pa.Array, np.ndarray, np.ndarray], batch: pa.RecordBa
     words = batch.column("words")
     flat, offsets = words.flatten(), np.asarray(words.offsets)
     offsets = offsets - offsets[0]
-    code = pc.index_in(flat, value_set=known)
-    found = np.asarray(pc.fill_null(code, -1))
+    # the few words of a batch are hashed, not the many known ones
+    coded = flat.dictionary_encode()
+    place = np.asarray(pc.fill_null(pc.index_in(known, value_set=coded.dictionary), -1))
+    hit = np.nonzero(place >= 0)[0]
+    code = np.full(len(coded.dictionary), -1, np.int64)
+    code[place[hit]] = hit
+    found = code[np.asarray(coded.indices)]
     n = np.where(found >= 0, starts[found + 1] - starts[found], 0)
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
@@ -88,15 +93,17 @@ def _replace(common: tuple[pa.Array, np.ndarray, np.ndarray], batch: pa.RecordBa
 def _insert(batches):
     """Put the ids of rare words back at their places."""
     for batch in batches:
-        out = []
-        for ids, rare in zip(batch.column("ids").to_pylist(), batch.column("rare").to_pylist()):
-            whole, last = [], 0
-            for r in sorted(rare, key=lambda r: (r["at"], r["nth"])):
-                whole += ids[last : r["at"]]
-                last = r["at"]
-                whole += r["ids"]
-            out.append(whole + ids[last:])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "ids"])
+        ids, rare = batch.column("ids"), batch.column("rare")
+        bounds, sizes = np.asarray(ids.offsets) - ids.offsets[0].as_py(), np.asarray(pc.list_value_length(rare))
+        at, nth, own = rare.flatten().flatten()
+        doc, at = np.repeat(np.arange(len(sizes)), sizes), np.asarray(at)
+        order = np.lexsort((np.asarray(nth), at, doc))
+        own = own.take(pa.array(order))
+        n = np.asarray(pc.list_value_length(own))
+        whole = np.insert(np.asarray(ids.flatten()), np.repeat((bounds[doc] + at)[order], n), np.asarray(own.flatten()))
+        more = np.bincount(doc[order], weights=n, minlength=len(sizes)).astype(np.int64)
+        bounds = bounds + np.concatenate([[0], np.cumsum(more)])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(whole, pa.int32()))], ["key", "ids"])
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, common: int = 200_000) -> DataFrame:
@@ -122,7 +129,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             yield _replace(shared.value, batch)
 
     form = texts.drop("text").withColumns({"ids": F.array().cast("array<int>"), "rare": F.array().cast("array<struct<at:int,word:string>>")}).schema
-    first = cut(texts.select("key", split_words("text").alias("words")).mapInArrow(run, form), "encoded")
+    with small_batches(spark):
+        first = cut(texts.select("key", split_words("text").alias("words")).mapInArrow(run, form), "encoded")
     whole = first.where(F.size("rare") == 0).select("key", "ids")
     part = first.where(F.size("rare") > 0)
     rare = part.select("key", F.posexplode("rare").alias("nth", "r")).select("key", "nth", "r.at", "r.word")

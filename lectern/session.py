@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -106,6 +107,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "4m"):
+    """Plans run inside hand Python tasks batches of ``most`` bytes, or of one
+    larger row.  Spark's own bound of 64 MB is held several times over: in Arrow
+    vectors that double, in the buffer they are sent from, and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drop_cut(*tables: DataFrame) -> None:
     """Remove the files behind tables made by :func:`cut` once nobody needs them."""
     for df in tables:

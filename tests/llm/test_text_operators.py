@@ -29,6 +29,38 @@ def test_encoding_of_no_rows(spark):
     assert encoding.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@needs_vocabulary
+def test_encoding_takes_few_bytes_at_a_time(spark, monkeypatch, tmp_path):
+    whole, folder = encoding._replace, str(tmp_path)
+
+    def noted(common, batch):
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write(f"{batch.num_rows} {batch.nbytes}")
+        return whole(common, batch)
+
+    monkeypatch.setattr(encoding, "_replace", noted)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    encoding.encode(spark.range(2000).selectExpr("id as doc_id", "repeat('some words ', 1000) as text"))
+    seen = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert sum(n for n, _ in seen) == 2000 and max(size for _, size in seen) < 5e6
+    assert spark.conf.get(name) == before
+
+
+def test_rare_words_return_to_their_places():
+    import pyarrow as pa
+
+    form = pa.list_(pa.struct([("at", pa.int32()), ("nth", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+    rare = [[(9, 0, [0])], [(2, 3, [7, 8]), (0, 0, [5]), (1, 2, []), (0, 1, [6])], [(0, 0, [4])], []]
+    rare = pa.array([[dict(zip(("at", "nth", "ids"), r)) for r in doc] for doc in rare], form)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array([[3] * 9, [1, 2], [], [9]], pa.list_(pa.int32())), rare], ["key", "ids", "rare"])
+    got = [r for b in encoding._insert([batch.slice(1)]) for r in b.to_pylist()]
+    assert got == [{"key": 1, "ids": [5, 6, 1, 2, 7, 8]}, {"key": 2, "ids": [4]}, {"key": 3, "ids": [9]}]
+
+
 def test_split_words_lose_nothing(spark):
     df = spark.createDataFrame([(i, t or "") for i, t in TEXTS], "doc_id long, text string")
     assert all("".join(r.w) == r.text for r in df.select("text", encoding.split_words(df.text).alias("w")).collect())
